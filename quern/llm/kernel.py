@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -122,7 +123,7 @@ def by_batch(
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *each(batch.column(1))], names=names)
 
-    names = [id_col, *(part.split()[0] for part in schema.split(","))]
+    names = [id_col, *StructType.fromDDL(schema).names]
     return kept.mapInArrow(work, f"`{id_col}` {id_type}, {schema}")
 
 
