@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import contamination, kernel, langid, mixing, pii, quality, toxicity
+from quern.llm import contamination, embeddings, kernel, langid, mixing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,31 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kernel.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.groups(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM v
+  UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), pii.train(spark))
     counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in pii.BASE]
@@ -78,6 +103,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_language": op4_language,
+    "op7_embeddings": op7_embeddings,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
@@ -85,4 +111,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
+    "op7_embeddings": OP7_SQL,
 }
