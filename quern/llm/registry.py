@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import contamination, embeddings, kernel, langid, mixing, pii, quality, toxicity
+from quern.llm import contamination, embeddings, kernel, langid, mixing, pages, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kernel.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted")
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.groups(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -103,6 +108,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_language": op4_language,
+    "op5_pages": op5_pages,
     "op7_embeddings": op7_embeddings,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
