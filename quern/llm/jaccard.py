@@ -159,21 +159,6 @@ def prefixes(docs: DataFrame, known, s: Settings, id_col: str, text_col: str) ->
     return kept.mapInArrow(work, f"id {kind}, n long, h long, l int, tokens array<long>")
 
 
-def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Whether a bucket of the column's top bits holds a value: 2**bits flags, whatever the number of rows."""
-    bucket = F.shiftrightunsigned(column, 64 - bits)
-    words = values.select(bucket.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 AS int))")).alias("flags"))
-    found = words.toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["w"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def in_bitmap(flags: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    bucket = values.view(np.uint64) >> np.uint64(64 - bits)
-    return (flags[(bucket >> np.uint64(5)).astype(np.int64)] >> (bucket & np.uint64(31)).astype(np.uint32)) & 1 == 1
-
-
 def required(s: Settings, a: str, b: str) -> str:
     """SQL: the overlap that sets of a and b shingles need to link."""
     num, den = s.share
@@ -184,7 +169,7 @@ def lists(pre: DataFrame, s: Settings) -> DataFrame:
     """(token, h, n, l, rank) of all shingles that several classes have, with each list's centre: ch, cn, crank."""
     several = pre.select("h", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("token")
     several = kernel.written(several, "several")
-    flags, bits = bitmap(several, "token", s.bitmap_bits), s.bitmap_bits
+    flags, bits = kernel.bitmap(several, "token", s.bitmap_bits), s.bitmap_bits
 
     def spread(batches):
         for batch in batches:
@@ -193,7 +178,7 @@ def lists(pre: DataFrame, s: Settings) -> DataFrame:
             flat = tokens.flatten().to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)
             rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = in_bitmap(flags, flat, bits)
+            keep = kernel.in_bitmap(flags, flat, bits)
             at = owner[keep]
             columns = [flat[keep], h.to_numpy()[at], n.to_numpy()[at], l.to_numpy()[at], rank[keep].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "h", "n", "l", "rank"])
@@ -209,7 +194,7 @@ def verify(pairs: DataFrame, docs: DataFrame, s: Settings, text_col: str) -> Dat
     """Those of pairs (a, b) of classes that link. Sets are made again from the texts, for the classes in pairs only."""
     num, den = s.share
     wanted = pairs.select("a").union(pairs.select("b"))
-    flags, bits = bitmap(wanted, "a", s.bitmap_bits), s.bitmap_bits
+    flags, bits = kernel.bitmap(wanted, "a", s.bitmap_bits), s.bitmap_bits
 
     def work(batches):
         seen: set[int] = set()
@@ -218,7 +203,7 @@ def verify(pairs: DataFrame, docs: DataFrame, s: Settings, text_col: str) -> Dat
             for own in sets_of(batch.column(0), s.words):
                 if len(own):
                     h = class_of(own)
-                    if h not in seen and in_bitmap(flags, np.array([h]), bits)[0]:
+                    if h not in seen and kernel.in_bitmap(flags, np.array([h]), bits)[0]:
                         seen.add(h)
                         h_out.append(h)
                         s_out.append(own.tobytes())

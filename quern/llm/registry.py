@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import contamination, embeddings, jaccard, kernel, langid, mixing, pages, pii, quality, toxicity
+from quern.llm import contamination, embeddings, jaccard, kernel, langid, mixing, pages, pii, quality, repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.groups(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -127,6 +131,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op5_pages": op5_pages,
+    "op6_repeats": op6_repeats,
     "op7_embeddings": op7_embeddings,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
