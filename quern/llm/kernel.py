@@ -140,7 +140,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what written() wrote for frames that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
@@ -166,3 +176,23 @@ def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
 def in_bitmap(flags: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     bucket = values.view(np.uint64) >> np.uint64(64 - bits)
     return (flags[(bucket >> np.uint64(5)).astype(np.int64)] >> (bucket & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """docs, written with _row, a number for each row that later reads agree on."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def without(rows: DataFrame, dropped: DataFrame, bits: int = 24) -> DataFrame:
+    """numbered() rows less those whose _row is in dropped. Rows that a bitmap clears stay where they are; only the others are joined."""
+    flags = bitmap(dropped.select(F.xxhash64("_row").alias("m")), "m", bits)
+    narrow = rows.withColumn("_m", F.xxhash64("_row"))
+
+    def sift(hit: bool):
+        def work(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(flags, batch.column("_m").to_numpy(), bits) == hit))
+
+        return narrow.mapInArrow(work, narrow.schema).drop("_m")
+
+    return sift(False).unionByName(sift(True).join(dropped.select("_row"), "_row", "left_anti"))

@@ -91,7 +91,7 @@ def repair(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """(_row, id, source, size, source_size, target, rate, copies) for each row of docs."""
+    """(id, source, size, source_size, target, rate, copies) for each row of docs."""
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("_key"),
@@ -129,5 +129,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col="doc_id"
     change = offers.groupBy("_src").applyInPandas(repair, "_row long, _change long")
     out = placed.join(kernel.written(change, "repairs"), "_row", "left")
     out = out.withColumn("copies", F.col("copies") + F.coalesce("_change", F.lit(0)))
-    return out.select("_row", F.col("_key").alias(id_col), "source", "size", "source_size", "target", "rate", "copies")
+    return out.select(F.col("_key").alias(id_col), "source", "size", "source_size", "target", "rate", "copies")
 

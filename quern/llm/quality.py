@@ -151,3 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_co
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, score) for each row."""
     return kernel.by_batch(docs, id_col, text_col, lambda texts: [pa.array(model.score(texts))], "score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col="text") -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            texts = batch.column(place)
+            yield batch.filter(pa.array(model.score(texts) >= threshold)) if batch.num_rows else batch
+
+    return docs.mapInArrow(work, docs.schema)
