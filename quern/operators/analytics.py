@@ -47,7 +47,7 @@ def usage(events: DataFrame, now: Column, active_minutes: int = 5) -> DataFrame:
         F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"),
         F.coalesce(F.sum("zero"), F.lit(0)).alias("zero_results"),
         ratio(F.sum("ms"), F.sum("timed")).alias("avg_latency_ms"),
-        ratio(F.sum(F.unix_millis(F.col("last").cast("timestamp")) - F.unix_millis(F.col("first").cast("timestamp"))) / 60000, F.count("session_id")).alias("mean_session_minutes"),
+        ratio(F.sum(F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 60_000_000, F.count("session_id")).alias("mean_session_minutes"),
     )
     return out.withColumn("ctr", ratio(F.col("clicks"), F.col("searches"))).withColumn("zero_result_rate", ratio(F.col("zero_results"), F.col("searches")))
 

@@ -121,7 +121,7 @@ def now(t: Tables):
     + """, x AS (SELECT session_id, min(ts) AS a, max(ts) AS b FROM u GROUP BY 1)
 SELECT (SELECT count(*) FROM x) AS visitors, (SELECT count(DISTINCT username) FROM u) AS signed_in, (SELECT count(*) FROM x, m WHERE b >= now - INTERVAL 5 MINUTE) AS active,
  count(*) FILTER (type = 'search') AS searches, count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type = 'search' AND result_count = 0) AS zero_results,
- round(avg(took_ms) FILTER (type = 'search' AND took_ms >= 0), 6) AS avg_latency_ms, round((SELECT sum(epoch_ms(b) - epoch_ms(a))::DOUBLE / 60000 / count(*) FROM x), 6) AS mean_session_minutes,
+ round(avg(took_ms) FILTER (type = 'search' AND took_ms >= 0), 6) AS avg_latency_ms, round((SELECT sum(epoch_us(b) - epoch_us(a))::DOUBLE / 60000000 / count(*) FROM x), 6) AS mean_session_minutes,
  round(count(*) FILTER (type = 'click') / count(*) FILTER (type = 'search'), 6) AS ctr, round(count(*) FILTER (type = 'search' AND result_count = 0) / count(*) FILTER (type = 'search'), 6) AS zero_result_rate FROM u""",
 )
 def _(t):
