@@ -187,55 +187,77 @@ def lists(pre: DataFrame, s: Settings) -> DataFrame:
     entries = entries.join(several, "token").distinct()
     entries = kernel.written(entries, "entries")
     centre = entries.groupBy("token").agg(F.min(F.struct("rank", "h", "n")).alias("c"))
-    return kernel.written(entries.join(centre.select("token", F.col("c.h").alias("ch"), F.col("c.n").alias("cn"), F.col("c.rank").alias("crank")), "token"), "lists")
+    out = kernel.written(entries.join(centre.select("token", F.col("c.h").alias("ch"), F.col("c.n").alias("cn"), F.col("c.rank").alias("crank")), "token"), "lists")
+    kernel.discard(several, entries)
+    return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """Those of pairs (a, b) of classes that link. Sets are made again from the texts, for the classes in pairs only."""
+def packed(own: np.ndarray) -> bytes:
+    """The upper 48 bits of each shingle: two sets of a thousand agree by chance in one of 2**28 comparisons."""
+    return own.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+def verify(pairs: DataFrame, pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Those of pairs (a, b) of classes that link. a may be in very many pairs, b in few.
+
+    Sets are made again from the texts, for one document of each class in pairs: bitmaps of classes and of
+    these documents' ids choose them (should another copy pass as well, its pairs are only found twice).
+    """
     num, den = s.share
-    wanted = pairs.select("a").union(pairs.select("b"))
-    flags, bits = kernel.bitmap(wanted, "a", s.bitmap_bits), s.bitmap_bits
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    chosen = pre.where("n > 0").select("id", "h").join(wanted, "h").groupBy("h").agg(F.min("id").alias("id"))
+    chosen = kernel.written(chosen.select("h", F.xxhash64("id").alias("m")), "chosen")
+    bits = s.bitmap_bits
+    classes, ids = kernel.bitmap(chosen, "h", bits), kernel.bitmap(chosen, "m", bits)
 
     def work(batches):
-        seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(kernel.in_bitmap(ids, batch.column(0).to_numpy(), bits)))
             h_out, s_out = [], []
-            for own in sets_of(batch.column(0), s.words):
+            for own in sets_of(batch.column(1), s.words):
                 if len(own):
                     h = class_of(own)
-                    if h not in seen and kernel.in_bitmap(flags, np.array([h]), bits)[0]:
-                        seen.add(h)
+                    if kernel.in_bitmap(classes, np.array([h]), bits)[0]:
                         h_out.append(h)
-                        s_out.append(own.tobytes())
+                        s_out.append(packed(own))
             yield pa.RecordBatch.from_arrays([pa.array(h_out, pa.int64()), pa.array(s_out, pa.binary())], names=["h", "own"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(work, "h long, own binary")
-    sets = kernel.written(sets.join(wanted.select(F.col("a").alias("h")).distinct(), "h", "left_semi").dropDuplicates(["h"]), "sets")
+    sets = docs.select(F.xxhash64(id_col).alias("_m"), F.col(text_col).cast("string").alias("_text")).mapInArrow(work, "h long, own binary")
 
     def compare(batches):
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
+            a, b, x, y = (batch.column(k) for k in range(4))
             good = []
-            for x, y in zip(columns[2], columns[3], strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = np.concatenate([x, y])
+            for k in range(batch.num_rows):
+                left, right = unpacked(x[k].as_py()), unpacked(y[k].as_py())
+                both = np.concatenate([left, right])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(den * shared >= num * (len(both) - shared))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    met = pairs.join(sets.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("own").alias("y")), "b")
+    # the sets are dealt out once, by class, for both joins; a class in very many pairs is split by the skew join
+    met = pairs.join(sets.withColumnRenamed("h", "b").withColumnRenamed("own", "y"), "b")
+    met = met.join(sets.withColumnRenamed("h", "a").withColumnRenamed("own", "x"), "a")
     return kernel.written(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def class_links(pre: DataFrame, docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """Verified links (a, b) between classes whose components are those of all links."""
+def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes whose components are those of all links; and pre without its shingles."""
     entries = lists(pre, s)
+    wide, pre = pre, kernel.written(pre.select("id", "n", "h"), "classes")
+    kernel.discard(wide)
     need = required(s, "n", "cn")
     star = entries.where("h <> ch").where(f"least(n, cn) >= {need} AND rank <= n - {need} AND crank <= cn - {need}")
-    star = star.select(F.least("h", "ch").alias("a"), F.greatest("h", "ch").alias("b")).distinct()
-    found = verify(kernel.written(star, "stars"), docs, s, text_col)
+    star = star.select(F.col("ch").alias("a"), F.col("h").alias("b")).distinct()
+    found = verify(kernel.written(star, "stars"), pre, docs, s, id_col, text_col)
     label = components(found, "a", "b")
     rest = entries.select("token", "h", "n", "l", "rank").join(label.withColumnRenamed("node", "h"), "h", "left")
     rest = kernel.written(rest.withColumn("label", F.coalesce("label", "h")), "labelled")
@@ -247,15 +269,15 @@ def class_links(pre: DataFrame, docs: DataFrame, s: Settings, text_col: str) ->
     near = f"x.token = y.token AND x.h < y.h AND x.label <> y.label AND least(x.n, y.n) >= {need} AND x.rank < x.n - {need} + {asked} AND y.rank < y.n - {need} + {asked}"
     met = x.join(y, F.expr(near)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.expr(asked).alias("asked"))
     across = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("asked").alias("asked")).where("n >= asked").select("a", "b")
-    more = verify(kernel.written(across, "across"), docs, s, text_col)
-    return found.union(more)
+    more = verify(kernel.written(across, "across"), pre, docs, s, id_col, text_col)
+    return found.union(more), pre
 
 
 def groups(docs: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs."""
     known = frequent_shingles(docs, s, text_col)
     pre = kernel.written(prefixes(docs, known, s, id_col, text_col), "prefixes")
-    links = class_links(pre, docs, s, text_col)
+    links, pre = class_links(pre, docs, s, id_col, text_col)
     label = components(links, "a", "b")
     classes = pre.where("n > 0").groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     classes = classes.join(label.withColumnRenamed("node", "h"), "h", "left")
