@@ -8,8 +8,8 @@ nearest path first: lines are aligned by longest common subsequence, and
 shared lines, which belong to the template and not to the page, go.
 
 Copies must not delete each other. A neighbour that shares more than
-`copy_share` of the page's article lines is a mirror and is passed over, and
-prose inside the page's article element goes only if it is shared with all
+`copy_share` of the page's article lines (of a page without an article element:
+all its lines) is a mirror and is passed over, and prose inside the page's article element goes only if it is shared with all
 2 * `reach` neighbours.
 
 Lines travel as 64-bit hashes; texts move once, to meet the verdict on their
@@ -184,15 +184,16 @@ def verdict(path: str, own: list[int], prose: list[bool], near: list[tuple[str,
     """Places of the lines that go."""
     if not own:
         return []
+    some = any(prose)
     body = [k for k, p in enumerate(prose) if p] or [*range(len(own))]
+    most = copy_share * len(body) if some else len(body) - 1
     shared = []
     for other_path, other in sorted(near, key=lambda n: -nearness(path, n[0])):
         same = set(common(own, other))
-        if len([k for k in body if k in same]) <= copy_share * len(body):
+        if len([k for k in body if k in same]) <= most:
             shared.append(same)
     if not shared:
         return []
-    some = any(prose)
     gone = {k for k in shared[0] if not (some and prose[k])}
     if len(shared) >= 2 * reach:
         gone |= set.intersection(*shared)
