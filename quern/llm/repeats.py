@@ -46,8 +46,8 @@ class Settings:
     length: int = 200
     gram: int = 24
     hot: int = 4000  # runs of a key that one task may hold
-    task_bytes: int = 24 << 20  # of runs in a task of the index
-    batch_bytes: int = 3 << 20
+    task_bytes: int = 12 << 20  # of runs in a task of the index
+    batch_bytes: int = 3 << 19
     bitmap_bits: int = 24
 
 
@@ -105,7 +105,7 @@ def list_runs(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
     def work(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            for c in kernel.chunks(batch.column(0), 4 * kernel.CHUNK_BYTES):
+            for c in kernel.chunks(batch.column(0)):
                 text, first, sizes, key, twice = runs(c, s)
                 names = [xxhash.xxh3_128_digest(c.buf[a:b].tobytes()) for a, b in zip(c.starts, c.ends)]
                 fresh = np.zeros(len(c), bool)
@@ -334,7 +334,7 @@ def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str) -> Data
     def work(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for c in kernel.chunks(batch.column(0), 4 * kernel.CHUNK_BYTES):
+            for c in kernel.chunks(batch.column(0)):
                 _, first, sizes, key, _ = runs(c, s)
                 key = signed(key)
                 keep = kernel.in_bitmap(flags, key, bits)
