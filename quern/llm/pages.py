@@ -12,13 +12,13 @@ Copies must not delete each other. A neighbour that shares more than
 all its lines) is a mirror and is passed over, and prose inside the page's article element goes only if it is shared with all
 2 * `reach` neighbours.
 
-Lines travel as 64-bit hashes; texts move once, to meet the verdict on their
-page. The order is a range-partitioned sort, so a host of any size spreads
+Lines travel as 64-bit hashes; only pages that lose a line move, to meet the
+verdict on them. The order is a range-partitioned sort, so a host of any size spreads
 over all tasks.
 
 A null or empty html gives no text. A null or unparsable url stands under the
 empty host. Equal urls are ordered by id. Pages that share an id are kept
-apart. Other columns are ignored.
+apart; rows that are equal in id, url and html lose the same lines. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,49 +201,56 @@ def verdict(path: str, own: list[int], prose: list[bool], near: list[tuple[str,
     return sorted(gone)
 
 
-LINES = "_row long, _key {id}, _url string, _host string, _path string, _lines array<string>, _prose array<boolean>, _hashes array<long>"
+def plain(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(_key, _url, _html, _t, _m): _t is 128 bits that stand for a row, equal rows are one; _m is half of them."""
+    rows = pages.select(F.col(id_col).alias("_key"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
+    digest = F.md5(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_key", "_url", "_html"))).cast("binary"))
+    return rows.withColumn("_t", F.unhex(digest)).withColumn("_m", lead("_t"))
 
 
-def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_key"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
+def lead(name: str):
+    return F.conv(F.hex(F.substring(name, 1, 8)), 16, -10).cast("long")
+
+
+def outlines(rows: DataFrame) -> DataFrame:
+    """(_t, _key, _host, _path, _prose, _hashes): of each page its place in the order and its lines, without their text."""
     address = F.regexp_replace(F.coalesce("_url", F.lit("")), r"[?#].*$", "")
     rows = rows.withColumn("_host", F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1)))
     rows = rows.withColumn("_path", F.regexp_replace(F.regexp_replace(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"(?:\.html?|/)$", ""))
 
     def work(frames):
         for frame in frames:
-            found = [lines_of(h) for h in frame.pop("_html")]
-            frame["_lines"] = [[t for t, _ in f] for f in found]
-            frame["_prose"] = [[p for _, p in f] for f in found]
-            frame["_hashes"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in f] for f in found]
-            yield frame
+            found = [lines_of(h) for h in frame["_html"]]
+            yield pd.DataFrame({
+                "_t": frame["_t"],
+                "_key": frame["_key"],
+                "_host": frame["_host"],
+                "_path": frame["_path"],
+                "_prose": [[p for _, p in f] for f in found],
+                "_hashes": [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in f] for f in found],
+            })
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInPandas(work, LINES.format(id=kind))
+    return rows.mapInPandas(work, f"_t binary, _key {kind}, _host string, _path string, _prose array<boolean>, _hashes array<long>")
 
 
-def extract(pages: DataFrame, reach: int = 2, copy_share: float = 0.5, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """(id, url, text, n_lines, n_deleted) for each page."""
-    rows = kernel.written(parsed(pages, id_col, url_col, html_col), "lines")
+def verdicts(rows: DataFrame, reach: int, copy_share: float) -> DataFrame:
+    """(_t, _gone): places of the lines that go, of pages that have any."""
     # places in the order of hosts and paths: sorted ranges, then the sizes of the ranges before
-    order = ["_host", "_path", "_key", "_row"]
-    ranged = rows.select(*order, "_prose", "_hashes").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = kernel.written(ranged.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    order = ["_host", "_path", "_key", "_t"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = kernel.written(ranged.drop("_key").withColumn("_place", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_place", 33)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition
     before = dict(zip(sorted(sizes), np.append(0, np.cumsum([sizes[p] for p in sorted(sizes)]))[:-1].tolist(), strict=False))
-    if before:
-        offset = F.element_at(F.create_map(*(F.lit(x) for p in before.items() for x in p)), part)
-        ranged = ranged.withColumn("_nth", offset + F.col("_place").bitwiseAND((1 << 33) - 1))
-    else:
-        ranged = ranged.withColumn("_nth", F.col("_place"))
-    ranged = ranged.select("_nth", "_row", "_host", "_path", "_prose", "_hashes")
+    offset = F.element_at(F.create_map(*(F.lit(x) for p in before.items() for x in p)), part) if before else F.lit(0)
+    ranged = ranged.withColumn("_nth", offset + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")
     steps = [k for k in range(-reach, reach + 1) if k]
     sent = ranged.withColumn("_step", F.explode(F.array(*(F.lit(k) for k in steps))))
     near = F.struct(F.col("_step").alias("step"), F.col("_path").alias("path"), F.col("_hashes").alias("hashes"))
     sent = sent.select((F.col("_nth") + F.col("_step")).alias("_nth"), F.col("_host").alias("_from"), near.alias("_near"))
     met = ranged.join(sent, "_nth").where(F.col("_host") == F.col("_from"))
-    met = met.groupBy("_nth", "_row", "_path", "_prose", "_hashes").agg(F.array_sort(F.collect_list("_near")).alias("_near"))
+    met = met.groupBy("_nth", "_t", "_path", "_prose", "_hashes").agg(F.array_sort(F.collect_list("_near")).alias("_near"))
 
     def work(frames):
         for frame in frames:
@@ -250,13 +258,48 @@ def extract(pages: DataFrame, reach: int = 2, copy_share: float = 0.5, id_col="p
                 verdict(r.path, list(r.hashes), list(r.prose), [(n["path"], list(n["hashes"])) for n in r.near], reach, copy_share)
                 for r in frame.rename(columns=lambda name: name.lstrip("_")).itertuples(index=False)
             ]
-            yield pd.DataFrame({"_row": frame["_row"], "_gone": gone})
+            yield pd.DataFrame({"_t": frame["_t"], "_gone": gone})
+
+    found = met.mapInPandas(work, "_t binary, _gone array<int>").where(F.size("_gone") > 0)
+    # equal rows lose what any of them loses
+    return found.groupBy("_t").agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone"))
+
+
+def kept_text(lines: list[tuple[str, bool]], gone) -> str:
+    """Prose of article elements is the article; a page without it keeps all lines that are left."""
+    some, gone = any(p for _, p in lines), set(gone)
+    return "\n".join(t for k, (t, p) in enumerate(lines) if k not in gone and (p or not some))
+
 
-    gone = met.mapInPandas(work, "_row long, _gone array<int>").where(F.size("_gone") > 0)
-    out = rows.join(gone, "_row", "left")
-    # prose of article elements is the article; a page without it keeps all lines that are left
-    some = F.exists("_prose", lambda p: p)
-    kept = F.expr("transform(filter(arrays_zip(_lines, _prose, sequence(0, greatest(size(_lines) - 1, 0))), x -> x._lines IS NOT NULL AND (_gone IS NULL OR NOT array_contains(_gone, x.`2`)) AND (NOT _some OR x._prose)), x -> x._lines)")
-    out = out.withColumn("_some", some).withColumn("text", F.array_join(kept, "\n"))
-    return out.select(F.col("_key").alias(id_col), F.col("_url").alias(url_col), "text", F.size("_lines").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+def extract(pages: DataFrame, reach: int = 2, copy_share: float = 0.5, id_col="page_id", url_col="url", html_col="html", bits: int = 24) -> DataFrame:
+    """(id, url, text, n_lines, n_deleted) for each page."""
+    rows = plain(pages, id_col, url_col, html_col)
+    outline = kernel.written(outlines(rows), "outlines")
+    gone = kernel.written(verdicts(outline, reach, copy_share), "verdicts")
+    kernel.discard(outline)
+    flags = kernel.bitmap(gone.select(lead("_t").alias("m")), "m", bits)
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    # pages that lose no line are done where they are; only the others meet their verdict
+    def pick(hit: bool):
+        def work(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(kernel.in_bitmap(flags, batch.column(4).to_numpy(), bits) == hit))
+
+        return rows.mapInArrow(work, rows.schema)
+
+    def finished(frame, gone):
+        found = [lines_of(h) for h in frame["_html"]]
+        done = [(kept_text(f, g), len(f), len(g)) for f, g in zip(found, gone, strict=True)]
+        columns = {c: list(frame[c]) for c in ("_key", "_url")} | {c: [r[k] for r in done] for k, c in enumerate(("text", "n_lines", "n_deleted"))}
+        return pd.DataFrame(columns)
+
+    def finish(frames):
+        for frame in frames:
+            yield finished(frame, [() if g is None else list(g) for g in frame["_gone"]])
 
+    result = f"_key {kind}, _url string, text string, n_lines int, n_deleted int"
+    clear = pick(False).select("_key", "_url", "_html", F.lit(None).cast("array<int>").alias("_gone"))
+    other = pick(True).join(gone, "_t", "left").select("_key", "_url", "_html", "_gone")
+    out = clear.unionByName(other).mapInPandas(finish, result)
+    return out.withColumnsRenamed({"_key": id_col, "_url": url_col})
