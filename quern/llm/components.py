@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = kernel.written(pairs, "edges")
-    print_sum = None
+    before = None
     while True:
         # large star: larger neighbours of a node move to its smallest one
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,8 +34,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = kernel.written(small.where("u <> v").distinct(), "edges")
         row = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (row["n"], row["x"]) == print_sum:
+        if (row["n"], row["x"]) == before:
             break
-        print_sum, pairs = (row["n"], row["x"]), after
+        before, pairs = (row["n"], row["x"]), after
     nodes = after.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.union(after.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -12,7 +12,8 @@ Within a meeting the leading axes are multiplied first. What the other axes
 can add is at most the product of the two suffix norms, so a pair is dropped
 as soon as sum so far + bound is under the threshold; only survivors go on to
 the next block of axes, and those left are decided in double precision on the
-vectors as given.
+vectors as given. A meeting hands on counts of links and connections, never a
+row for each pair.
 
 Null vectors and labels, zero vectors and ones with null or non-finite
 components link with nothing. Vectors of another dimension than most of the
@@ -109,24 +110,24 @@ def compare(a: dict, b: dict, threshold: float, block: int, same: bool) -> tuple
 
 
 def links(vectors: DataFrame, threshold: float = 0.93, tile: int = 512, block: int = 8, id_col="vec_id", vec_col="embedding", label_col="label"):
-    """(classes, members, pairs): classes of equal vectors (cls, label, n), their members (id, cls), and pairs of classes (a, b) that link."""
+    """(members, found): members (id, row, cls, n) of classes of n equal vectors; what links between classes come to, as gathered() gives it."""
     rows = kernel.written(valid(vectors, id_col, vec_col, label_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     # equal vectors of a label meet by value; one of them stands for all
     key = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
     keyed = rows.select("id", "row", "label", "v", "d", key.alias("key"))
     classes = keyed.groupBy("label", "key").agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("n"))
     members = kernel.written(keyed.select("id", "row", "label", "key").join(classes, ["label", "key"]).select("id", "row", "cls", "n"), "members")
-    single = keyed.join(classes.select("cls"), keyed["row"] == F.col("cls"), "left_semi").select("row", "label", "v", "d")
+    single = keyed.select("row", "label", "v", "d").join(classes.select(F.col("cls").alias("row"), "n"), "row").select("row", "label", "v", "d", "n")
     by = axes(single)
     placed = kernel.written(turned(single, by), "turned")
     # tiles along the first axis: a place within slices of the axis, then the slices' sums
     slot = F.floor((F.col("p0") + 1) * 512).cast("int")
-    sizes = placed.groupBy("label", "d", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "d").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("label", "d", slot.alias("slot")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("label", "d").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("label", "d", "slot", before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("label", "d", "slot").orderBy("p0", "row")) - 1
     placed = placed.withColumn("slot", slot).withColumn("nth", nth).join(sizes, ["label", "d", "slot"])
-    placed = kernel.written(placed.withColumn("tile", F.floor((F.col("before") + F.col("nth")) / tile)).select("label", "d", "tile", "row", "p0", "v"), "tiles")
+    placed = kernel.written(placed.withColumn("tile", F.floor((F.col("before") + F.col("nth")) / tile)).select("label", "d", "tile", "row", "p0", "n", "v"), "tiles")
     ranges = placed.groupBy("label", "d", "tile").agg(F.min("p0").alias("lo"), F.max("p0").alias("hi"))
     ranges = kernel.written(ranges, "ranges")
     # two unit vectors with first components x and y have a cosine of at most x*y + sqrt((1-x*x)(1-y*y)),
@@ -139,44 +140,67 @@ def links(vectors: DataFrame, threshold: float = 0.93, tile: int = 512, block: i
     meetings = meetings.withColumn("meeting", F.xxhash64("label", "d", "ta", "tb"))
     meetings = kernel.written(meetings, "meetings")
     # each tile as one row of packed numbers, so that a meeting is a join of two rows
-    packed = placed.groupBy("label", "d", "tile").applyInPandas(pack, "label " + dict(placed.dtypes)["label"] + ", d int, tile long, rows binary, v binary")
+    packed = placed.groupBy("label", "d", "tile").applyInPandas(pack, "label " + dict(placed.dtypes)["label"] + ", d int, tile long, rows binary, n binary, v binary")
     packed = kernel.written(packed, "packed")
-    left = packed.select("label", "d", F.col("tile").alias("ta"), F.col("rows").alias("ra"), F.col("v").alias("va"))
-    right = packed.select("label", "d", F.col("tile").alias("tb"), F.col("rows").alias("rb"), F.col("v").alias("vb"))
+    left = packed.select("label", "d", F.col("tile").alias("ta"), F.col("rows").alias("ra"), F.col("n").alias("na"), F.col("v").alias("va"))
+    right = packed.select("label", "d", F.col("tile").alias("tb"), F.col("rows").alias("rb"), F.col("n").alias("nb"), F.col("v").alias("vb"))
     met = meetings.join(left, ["label", "d", "ta"]).join(right, ["label", "d", "tb"])
 
     def work(frames):
         for frame in frames:
             for m in frame.itertuples():
-                a, b = (unpack(*own, by[m.d]) for own in ((m.ra, m.va), (m.rb, m.vb)))
-                i, j = compare(a, b, threshold, block, m.ta == m.tb)
-                yield pd.DataFrame({"a": a["rows"][i], "b": b["rows"][j]})
-
-    pairs = met.select("d", "ta", "tb", "ra", "va", "rb", "vb").mapInPandas(work, "a long, b long")
-    return members, kernel.written(pairs, "pairs")
+                a, b = (unpack(*own, by[m.d]) for own in ((m.ra, m.na, m.va), (m.rb, m.nb, m.vb)))
+                yield gathered(a, b, *compare(a, b, threshold, block, m.ta == m.tb))
+
+    found = met.select("d", "ta", "tb", "ra", "na", "va", "rb", "nb", "vb").mapInPandas(work, "a long, b long, n long")
+    return members, kernel.written(found, "links")
+
+
+def gathered(a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """What a meeting's links come to, at most a few rows a vector: (a, null, n) n vectors are linked with a; (a, b, null) a and b are connected."""
+    rows = np.concatenate([a["rows"], b["rows"]])
+    ends = np.concatenate([i, j + len(a["rows"])])
+    linked = np.bincount(ends, np.concatenate([b["n"][j], a["n"][i]]), len(rows)).astype(np.int64)
+    rows, place = np.unique(rows, return_inverse=True)  # a tile that meets itself has its rows twice
+    counts = np.bincount(place, linked, len(rows)).astype(np.int64)
+    x, y, label = place[i], place[j + len(a["rows"])], np.arange(len(rows))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    some, moved = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(rows)))
+    return pd.DataFrame({
+        "a": np.concatenate([rows[some], rows[moved]]),
+        "b": pd.array([*[None] * len(some), *rows[label[moved]].tolist()], "Int64"),
+        "n": pd.array([*counts[some].tolist(), *[None] * len(moved)], "Int64"),
+    })
 
 
 def pack(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["p0", "row"])
     v = np.stack(frame["v"].to_numpy()).astype(np.float64)
-    return pd.DataFrame({"label": [frame["label"].iloc[0]], "d": [frame["d"].iloc[0]], "tile": [frame["tile"].iloc[0]], "rows": [frame["row"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()]})
+    return pd.DataFrame({"label": [frame["label"].iloc[0]], "d": [frame["d"].iloc[0]], "tile": [frame["tile"].iloc[0]], "rows": [frame["row"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()]})
 
 
-def unpack(rows: bytes, v: bytes, turn: np.ndarray) -> dict:
+def unpack(rows: bytes, n: bytes, v: bytes, turn: np.ndarray) -> dict:
     v = np.frombuffer(v).reshape(-1, len(turn))
     v = v / np.abs(v).max(1, keepdims=True)
     norm = np.sqrt((v * v).sum(1))
-    return {"rows": np.frombuffer(rows, np.int64), "p": (v / norm[:, None]) @ turn, "v": v, "norm": norm}
+    return {"rows": np.frombuffer(rows, np.int64), "n": np.frombuffer(n, np.int64), "p": (v / norm[:, None]) @ turn, "v": v, "norm": norm}
 
 
 def groups(vectors: DataFrame, threshold: float = 0.93, id_col="vec_id", vec_col="embedding", label_col="label", **how) -> DataFrame:
     """(id, n_links, component_id) for each row of vectors."""
-    members, pairs = links(vectors, threshold, id_col=id_col, vec_col=vec_col, label_col=label_col, **how)
+    members, found = links(vectors, threshold, id_col=id_col, vec_col=vec_col, label_col=label_col, **how)
     sizes = members.groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"))
     # what a class links with: its own other members and all members of linked classes
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = both.join(sizes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("across"))
-    label = components(pairs, "a", "b").select(F.col("node").alias("cls"), "label")
+    across = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("across"))
+    label = components(found.where("b IS NOT NULL"), "a", "b").select(F.col("node").alias("cls"), "label")
     known = sizes.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
     known = known.join(least, "label").join(across.withColumnRenamed("a", "cls"), "cls", "left")
