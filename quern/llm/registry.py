@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.flagged(docs, model)
     return scored.select(
         "doc_id",
         kernel.held_out("doc_id", 5, 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "flagged",
     )
 
 

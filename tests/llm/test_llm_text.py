@@ -281,7 +281,8 @@ def test_toxic_thresholds_by_language(spark):
     docs, labels = labelled(spark, 1500)
     model = toxicity.train(docs, labels)
     assert set(model.thresholds) <= {"en", "fr"} and 0.2 <= model.threshold <= 0.8
-    assert docs.select(toxicity.threshold_column(model, F.col("lang")).alias("t")).where("t IS NULL").count() == 0
+    out = toxicity.flagged(docs, model)
+    assert out.columns == ["doc_id", "score", "flagged"] and out.where("flagged IS NULL").count() == 0 and out.count() == docs.count()
 
 
 def test_language(spark):
