@@ -18,8 +18,9 @@ between different sets is found or implied by other links of its component.
    rarer shingles: a list makes as many pairs as it has members. Verified pairs
    give components.
 4. The rest. Only lists that still hold classes of several components go on, and
-   only pairs across components that share at least min(l, l') shingles at
-   places that allow the required overlap. They are all verified, by whole sets.
+   only pairs across components that share a shingle at a place that allows the
+   required overlap, and at least min(l, l') of them in prefixes lengthened by as
+   many. All that are left are verified, by whole sets.
 
 So no list is ever turned into all its pairs, and a large group of near copies
 costs about one comparison a member, and more only for members that look alike
@@ -50,10 +51,10 @@ from quern.llm.components import components
 class Settings:
     words: int = 5
     share: tuple[int, int] = (80, 100)  # the threshold as a fraction
-    most: int = 6  # matches asked for, at most
+    matches: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)  # what a document may ask for
     verify: float = 40.0  # cost of verifying a pair, in looks at a list's entry
     frequent: int = 1 << 18
-    bitmap_bits: int = 24  # of the filters that are sent to all tasks: 2 MB each
+    bitmap_bits: int = 26  # of the filters that are sent to all tasks: 8 MB each
 
 
 def sets_of(texts: pa.Array, words: int):
@@ -121,10 +122,10 @@ def prefix(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], s: Settings) -
         count = np.where(tokens[at] == own, counts[at], 0)
     # a class of about equal counts is ordered by hash; own is sorted by hash already
     level = np.ceil(4 * np.log2(count + 1.0)).astype(np.int64)
-    order = np.argsort(level, kind="stable")[: n - need + s.most]
+    order = np.argsort(level, kind="stable")[: n - need + s.matches[-1]]
     met = np.cumsum(count[order])
     best, cost = 1, None
-    for matches in range(1, min(s.most, need) + 1):
+    for matches in (m for m in s.matches if m <= need):
         looks = float(met[n - need + matches - 1])
         total = looks + s.verify * looks / matches
         if cost is None or total < cost:
@@ -262,13 +263,19 @@ def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     rest = entries.select("token", "h", "n", "l", "rank").join(label.withColumnRenamed("node", "h"), "h", "left")
     rest = kernel.written(rest.withColumn("label", F.coalesce("label", "h")), "labelled")
     open_ = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = rest.join(open_, "token")
+    rest = kernel.written(rest.join(open_, "token"), "open")
+    # sets that link share a shingle at places that allow the overlap; each such pair is a candidate once
     x, y = rest.alias("x"), rest.alias("y")
     need = required(s, "x.n", "y.n")
-    asked = "least(x.l, y.l)"
-    near = f"x.token = y.token AND x.h < y.h AND x.label <> y.label AND least(x.n, y.n) >= {need} AND x.rank < x.n - {need} + {asked} AND y.rank < y.n - {need} + {asked}"
-    met = x.join(y, F.expr(near)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.expr(asked).alias("asked"))
-    across = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("asked").alias("asked")).where("n >= asked").select("a", "b")
+    near = f"x.token = y.token AND x.h < y.h AND x.label <> y.label AND least(x.n, y.n) >= {need} AND x.rank <= x.n - {need} AND y.rank <= y.n - {need}"
+    met = x.join(y, F.expr(near)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+    # of those, the ones that share as many as both ask for, within prefixes that are longer by as many
+    own = rest.groupBy("h").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list(F.struct("rank", "token")).alias("p"))
+    x, y = (own.select(*(F.col(c).alias(c + k) for c in own.columns)) for k in ("x", "y"))
+    both = met.join(x, F.col("a") == F.col("hx")).join(y, F.col("b") == F.col("hy"))
+    need, asked = required(s, "nx", "ny"), "least(lx, ly)"
+    first = [f"transform(filter(p{k}, t -> t.rank < n{k} - {need} + {asked}), t -> t.token)" for k in ("x", "y")]
+    across = both.where(f"size(array_intersect({first[0]}, {first[1]})) >= {asked}").select("a", "b")
     more = verify(kernel.written(across, "across"), pre, docs, s, id_col, text_col)
     return found.union(more), pre
 
