@@ -15,12 +15,11 @@ between different sets is found or implied by other links of its component.
    Equal sets are one class from here on.
 3. Stars. Shingles that only one class has are dropped. In each other shingle's
    list, every class is tried against one centre, the class that has the fewest
-   rarer shingles: a list makes as many pairs as it has members. Verified pairs
-   give components.
+   rarer shingles: a list makes as many pairs as it has members. Pairs that share
+   min(l, l') shingles of their prefixes are verified by whole sets; links give
+   components.
 4. The rest. Only lists that still hold classes of several components go on, and
-   only pairs across components that share a shingle at a place that allows the
-   required overlap, and at least min(l, l') of them in prefixes lengthened by as
-   many. All that are left are verified, by whole sets.
+   only pairs across components, again verified if they share enough.
 
 So no list is ever turned into all its pairs, and a large group of near copies
 costs about one comparison a member, and more only for members that look alike
@@ -52,7 +51,8 @@ class Settings:
     words: int = 5
     share: tuple[int, int] = (80, 100)  # the threshold as a fraction
     matches: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)  # what a document may ask for
-    verify: float = 40.0  # cost of verifying a pair, in looks at a list's entry
+    verify: float = 40.0  # cost of verifying a pair, in entries of a list
+    chance: float = 0.05  # other documents that have a shingle which isn't known to be frequent
     frequent: int = 1 << 18
     bitmap_bits: int = 26  # of the filters that are sent to all tasks: 8 MB each
 
@@ -123,11 +123,11 @@ def prefix(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], s: Settings) -
     # a class of about equal counts is ordered by hash; own is sorted by hash already
     level = np.ceil(4 * np.log2(count + 1.0)).astype(np.int64)
     order = np.argsort(level, kind="stable")[: n - need + s.matches[-1]]
-    met = np.cumsum(count[order])
+    met = np.cumsum(count[order] + s.chance)
     best, cost = 1, None
     for matches in (m for m in s.matches if m <= need):
         looks = float(met[n - need + matches - 1])
-        total = looks + s.verify * looks / matches
+        total = n - need + matches + looks + s.verify * looks / matches  # entries made, entries met, pairs verified
         if cost is None or total < cost:
             best, cost = matches, total
     return own[order[: n - need + best]], best
@@ -250,6 +250,18 @@ def verify(pairs: DataFrame, pre: DataFrame, docs: DataFrame, s: Settings, id_co
     return kernel.written(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
+def enough(pairs: DataFrame, entries: DataFrame, s: Settings) -> DataFrame:
+    """Those of pairs (a, b) that share as many shingles as both ask for, within prefixes that are longer by as many."""
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    own = entries.select("h", "n", "l", "rank", "token").join(wanted, "h", "left_semi")
+    own = own.groupBy("h").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list(F.struct("rank", "token")).alias("p"))
+    x, y = (own.select(*(F.col(c).alias(c + k) for c in own.columns)) for k in ("x", "y"))
+    both = pairs.join(x, F.col("a") == F.col("hx")).join(y, F.col("b") == F.col("hy"))
+    need, asked = required(s, "nx", "ny"), "least(lx, ly)"
+    first = [f"transform(filter(p{k}, t -> t.rank < n{k} - {need} + {asked}), t -> t.token)" for k in ("x", "y")]
+    return both.where(f"size(array_intersect({first[0]}, {first[1]})) >= {asked}").select("a", "b")
+
+
 def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between classes whose components are those of all links; and pre without its shingles."""
     entries = lists(pre, s)
@@ -258,7 +270,7 @@ def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     need = required(s, "n", "cn")
     star = entries.where("h <> ch").where(f"least(n, cn) >= {need} AND rank <= n - {need} AND crank <= cn - {need}")
     star = star.select(F.col("ch").alias("a"), F.col("h").alias("b")).distinct()
-    found = verify(kernel.written(star, "stars"), pre, docs, s, id_col, text_col)
+    found = verify(kernel.written(enough(star, entries, s), "stars"), pre, docs, s, id_col, text_col)
     label = components(found, "a", "b")
     rest = entries.select("token", "h", "n", "l", "rank").join(label.withColumnRenamed("node", "h"), "h", "left")
     rest = kernel.written(rest.withColumn("label", F.coalesce("label", "h")), "labelled")
@@ -269,13 +281,7 @@ def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     need = required(s, "x.n", "y.n")
     near = f"x.token = y.token AND x.h < y.h AND x.label <> y.label AND least(x.n, y.n) >= {need} AND x.rank <= x.n - {need} AND y.rank <= y.n - {need}"
     met = x.join(y, F.expr(near)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    # of those, the ones that share as many as both ask for, within prefixes that are longer by as many
-    own = rest.groupBy("h").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list(F.struct("rank", "token")).alias("p"))
-    x, y = (own.select(*(F.col(c).alias(c + k) for c in own.columns)) for k in ("x", "y"))
-    both = met.join(x, F.col("a") == F.col("hx")).join(y, F.col("b") == F.col("hy"))
-    need, asked = required(s, "nx", "ny"), "least(lx, ly)"
-    first = [f"transform(filter(p{k}, t -> t.rank < n{k} - {need} + {asked}), t -> t.token)" for k in ("x", "y")]
-    across = both.where(f"size(array_intersect({first[0]}, {first[1]})) >= {asked}").select("a", "b")
+    across = enough(met, rest, s)
     more = verify(kernel.written(across, "across"), pre, docs, s, id_col, text_col)
     return found.union(more), pre
 
