@@ -92,7 +92,8 @@ def runs(c: kernel.Chunk, s: Settings) -> tuple[np.ndarray, ...]:
     own = np.searchsorted(names, key).astype(np.int64) << 32
     second = np.searchsorted(places, own | first) + 1
     twice = (second < len(places)) & (places[np.minimum(second, len(places) - 1)] <= (own | (first + sizes - 1 + width - 1)))
-    return text, first, sizes, key, twice
+    # smallest hashes are small numbers; bitmaps go by the upper bits, so the keys are spread again
+    return text, first, sizes, kernel.mix(key), twice
 
 
 def signed(x: np.ndarray) -> np.ndarray:
