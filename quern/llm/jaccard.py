@@ -54,7 +54,7 @@ class Settings:
     verify: float = 40.0  # cost of verifying a pair, in entries of a list
     chance: float = 0.05  # other documents that have a shingle which isn't known to be frequent
     frequent: int = 1 << 18
-    bitmap_bits: int = 26  # of the filters that are sent to all tasks: 8 MB each
+    bitmap_bits: int = 25  # of the filters that are sent to all tasks: 4 MB each
 
 
 def sets_of(texts: pa.Array, words: int):

@@ -166,16 +166,16 @@ def sample_rows(labelled: DataFrame, bound: int, columns: list[str], order: str,
 def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """Whether a bucket of the column's top bits holds a value: 2**bits flags, whatever the number of rows."""
     bucket = F.shiftrightunsigned(column, 64 - bits)
-    words = values.select(bucket.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 AS int))")).alias("flags"))
+    words = values.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("flags"))
     found = words.toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["w"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 def in_bitmap(flags: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     bucket = values.view(np.uint64) >> np.uint64(64 - bits)
-    return (flags[(bucket >> np.uint64(5)).astype(np.int64)] >> (bucket & np.uint64(31)).astype(np.uint32)) & 1 == 1
+    return flags[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63)) & np.uint64(1) == 1
 
 
 def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:

@@ -24,7 +24,7 @@ def test_components(spark):
 def test_without(spark):
     rows = kernel.numbered(spark.range(100).toDF("v"))
     dropped = rows.where("v % 3 = 0").select("_row")
-    for bits in (24, 6):
+    for bits in (24, 8):
         assert kernel.without(rows, dropped, bits).where("v % 3 = 0").count() == 0
         assert kernel.without(rows, dropped, bits).count() == 66
 
