@@ -165,8 +165,8 @@ def evaluate(posts: DataFrame, node) -> DataFrame:
     return rows.where(condition(node, column)).select("doc_id")
 
 
-def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None, limit: int = MAX_CANDIDATES) -> tuple[DataFrame, list[str]]:
-    """(doc_id) candidates, lowest ids first, and the terms dropped to have any.
+def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(doc_id) candidates, all or the `limit` with the lowest ids, and the terms dropped to have any.
 
     Unknown terms go first, then the term that most documents have, and so on,
     while more than one is left. Phrases, groups, exclusions and the site stay.
@@ -198,5 +198,5 @@ def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None,
     best = rows.agg(F.min("_level").alias("n")).first()["n"]
     if best is None:
         return rows.select("doc_id").limit(0), []
-    found = rows.where(F.col("_level") <= best).select("doc_id").orderBy("doc_id").limit(limit)
-    return found, order[:best]
+    found = rows.where(F.col("_level") <= best).select("doc_id")
+    return found if limit is None else found.orderBy("doc_id").limit(limit), order[:best]

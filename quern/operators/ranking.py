@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import snippet, title_ratio
 from quern.functions.urls import on_site, site
 from quern.operators.index import SearchIndex, totals
-from quern.operators.query import ParsedQuery, parse, resolve
+from quern.operators.query import MAX_CANDIDATES, ParsedQuery, parse, resolve
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -120,7 +120,7 @@ def search(index: SearchIndex, raw: str, page: int = 1, size: int = 20, how: Ran
     """A page of results (rank, doc_id, url, title, score, snippet) and the dropped terms."""
     q = parse(raw)
     where = index.docs.where(on_site(F.col("url"), q.site)).select("doc_id") if q.site else None
-    found, dropped = resolve(index.postings, q, where)
+    found, dropped = resolve(index.postings, q, where, MAX_CANDIDATES)
     offset, size = page_bounds(page, size)
     best = score(index, q, found, how, ranks).orderBy(F.desc("score"), F.asc("doc_id")).limit(offset + size).offset(offset)
     return best.select("doc_id", "url", "title", site(F.col("url")).alias("host"), "score", snippet([*q.terms()])("body_text").alias("snippet")), dropped

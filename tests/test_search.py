@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import graph, index, query, ranking, segment, suggest
 from quern.operators.query import And, Not, Or, Phrase, Term
+from quern.plans.catalog import QUERIES
 from quern.plans.engine import SearchEngine
 
 BODIES = ["máy tính xách tay", "laptop giá rẻ", "máy tính giá rẻ", "điện thoại"]
@@ -65,6 +66,16 @@ def test_relaxation_drops_unknown_then_common(spark):
     assert ids(found) == [0, 1]
 
 
+def test_registered_queries_see_more_than_10000_matches(spark, tmp_path):
+    # the best documents have the highest ids
+    text = F.when(F.col("id") >= 10_040, "the that").otherwise("the that and other words")
+    spark.range(10_050).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("src3").alias("source"), F.lit("en").alias("lang")).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("site_restricted", "relaxed_unknown_term"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 10_050
+    assert [r["doc_id"] for r in QUERIES["rank_bm25_top10"](spark, str(tmp_path)).collect()] == [*range(10_040, 10_050)]
+    assert QUERIES["candidates_capped"](spark, str(tmp_path)).count() == 100
+
+
 def test_worked_trace(spark):
     lens = spark.createDataFrame([(0, 44), (1, 26), (2, 27), (3, 25), (4, 21)], "doc_id long, doc_length int")
     tf = [(0, 5, 5), (1, 4, 4), (2, 3, 3), (4, 2, 1)]
