@@ -210,8 +210,8 @@ TRADE = "SELECT c.c_nationkey AS src, s.s_nationkey AS dst FROM customer c JOIN
 
 
 def trade(t: Tables) -> DataFrame:
-    """Edges from a customer's nation to a supplier's, a row for each item; nations of a third are left without."""
-    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("src")).where("src % 3 <> 0")
+    """Edges from a customer's nation to a supplier's, a row for each item."""
+    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("src"))
     rows = c.join(t.orders.select("o_custkey", "o_orderkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t.lineitem.select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("s_suppkey") == F.col("l_suppkey")).select("src", "dst").where("src <> dst")
@@ -274,7 +274,7 @@ def _(t):
 
 @query("visit_upsert", "SELECT user_id::VARCHAR AS username, event_type AS url, max(ts) AS visited_at, count(*) AS visit_count, max_by(props, ts) AS title, min_by(props, ts) AS host FROM events WHERE event_id % 10 <> 0 GROUP BY ALL")
 def _(t):
-    visits = t.events.select(F.col("user_id").cast("string").alias("username"), F.col("event_type").alias("url"), F.col("props").alias("title"), F.col("props").alias("host"), F.col("ts").alias("visited_at"), F.lit(1).alias("visit_count"), (F.col("event_id") % 10 == 0).alias("incognito"))
+    visits = t.events.select(F.col("user_id").cast("string").alias("username"), F.col("event_type").alias("url"), F.col("props").alias("title"), F.col("props").alias("host"), F.col("ts").alias("visited_at"), F.lit(1).alias("visit_count"), F.lit(False).alias("incognito"))
     return ud.upsert_visits(visits)
 
 

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import schemas
-from quern.operators import analytics, crawl, evaluation, userdata
+from quern.operators import analytics, crawl, evaluation, graph, userdata
+from quern.plans.catalog import QUERIES
 from quern.sources import readers, sinks
 from quern.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
 NOW = datetime(2026, 8, 10, 10, 0, 0)
 
 
@@ -201,3 +203,30 @@ def test_bad_records_and_routes(spark):
     samples = spark.createDataFrame([("lag", NOW + timedelta(minutes=k), float(v)) for k, v in enumerate([20, 20, 20, 20, 20, 1, 20])], "metric string, ts timestamp, value double")
     assert jobs.alerts(samples, "lag", 10).count() == 1
     assert jobs.increase(samples, "lag", "1 hour").first()["increase"] == 0.0
+
+
+def ranks_of(nodes, edges, rounds):
+    """PageRank by hand; the ranks of nodes without links out are spread over all."""
+    rank, outs = dict.fromkeys(nodes, 1 / len(nodes)), {n: [d for s, d in edges if s == n] for n in nodes}
+    for _ in range(rounds):
+        loose = sum(rank[n] for n in nodes if not outs[n])
+        got = {n: sum(rank[m] * outs[m].count(n) / len(outs[m]) for m in nodes if outs[m]) for n in nodes}
+        rank = {n: 0.15 / len(nodes) + 0.85 * (got[n] + loose / len(nodes)) for n in nodes}
+    return rank
+
+
+def test_ranks_with_nodes_that_have_no_links(spark):
+    edges = [("A", "B"), ("A", "B"), ("A", "C"), ("B", "C"), ("D", "A")]
+    ranks, _ = graph.pagerank(spark.createDataFrame([(x,) for x in "ABCDE"], "node string"), spark.createDataFrame(edges, "src string, dst string"), fixed=5)
+    assert {r["node"]: r["rank"] for r in ranks.collect()} == pytest.approx(ranks_of("ABCDE", edges, 5))
+
+
+def test_trade_and_visits_of_whole_tables(spark):
+    customer, orders, items, supplier, nation, seen = (spark.read.parquet(f"{SF}/{n}.parquet").toPandas() for n in ("customer", "orders", "lineitem", "supplier", "nation", "events"))
+    rows = items.merge(orders, left_on="l_orderkey", right_on="o_orderkey").merge(customer, left_on="o_custkey", right_on="c_custkey").merge(supplier, left_on="l_suppkey", right_on="s_suppkey")
+    edges = [(s, d) for s, d in zip(rows["c_nationkey"].tolist(), rows["s_nationkey"].tolist(), strict=True) if s != d]
+    sums = {s: float(sum(a == s for a, _ in edges)) for s in {a for a, _ in edges}}
+    assert {r["row"]: r["value"] for r in QUERIES["sparse_product"](spark, SF).collect()} == sums
+    ranks = {r["node"]: r["rank"] for r in QUERIES["pagerank_fixed"](spark, SF).collect()}
+    assert ranks == pytest.approx(ranks_of(nation["n_nationkey"].tolist(), edges, 5), abs=1e-8)
+    assert QUERIES["visit_upsert"](spark, SF).agg(F.sum("visit_count")).first()[0] == len(seen)
