@@ -193,7 +193,7 @@ def _(t):
 
 @query("suggest_bigrams", WITH + "SELECT a.term || ' ' || b.term AS phrase, count(*) AS frequency FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.position < 11 GROUP BY ALL HAVING count(*) >= 3")
 def _(t):
-    return suggest.bigrams(t.documents.select(F.slice(T.syllables(F.col("text")), 1, 12).alias("words")), "words", 3)
+    return suggest.bigrams(t.documents.select(T.syllables(F.col("text")).alias("words")), "words", 3)
 
 
 @query("content_duplicates", r"SELECT fp, count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fp FROM documents WHERE trim(regexp_replace(lower(text), '\s+', ' ', 'g')) <> '') GROUP BY fp HAVING count(*) > 1")

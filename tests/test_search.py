@@ -162,3 +162,10 @@ def test_learned_suggestions(spark):
     counts = spark.createDataFrame([("hà nội", "Hà Nội", 3), ("hà nam", "Hà Nam", 5)], "key string, display string, frequency long")
     more = suggest.learned(counts, spark.createDataFrame([("hà nội",)] * 3, "query string"))
     assert [tuple(r) for r in suggest.by_prefix(more, "HÀ", 5, "key").collect()] == [("hà nội", 6), ("hà nam", 5)]
+
+
+def test_bigrams_of_whole_texts(spark, tmp_path):
+    late = "x" + " y" * 20
+    texts = [f"{late} hà nội", f"{late} hà nội", "hà nội", None, "", "một"]
+    spark.createDataFrame(enumerate(texts), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in QUERIES["suggest_bigrams"](spark, str(tmp_path)).collect()} == {("hà nội", 3), ("y y", 38)}
