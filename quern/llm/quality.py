@@ -96,7 +96,8 @@ def histograms(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray, n
     return rows
 
 
-def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) -> Model:
+def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), shift: float = 0.0) -> Model:
+    """shift: log-odds from the shares of these rows to those of all, see prior_shift."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
@@ -128,13 +129,26 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings()) ->
             for k, i in enumerate(own):
                 x[k, rows[i][0]] = 0
     fold = table @ (out[:, 1] - out[:, 0])
-    return Model(s, fold.astype(np.float32), float(bias[1] - bias[0]))
+    return Model(s, fold.astype(np.float32), float(bias[1] - bias[0]) + shift)
+
+
+def usable(labels: DataFrame, label_col: str, id_col="doc_id") -> DataFrame:
+    """(_id, _y) of the labels that aren't held out."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    return known.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~kernel.held_out("_id", 5, 0)).dropDuplicates(["_id"])
+
+
+def prior_shift(labels: DataFrame, label_col: str, s: Settings, id_col="doc_id") -> float:
+    """The log-odds that take the class shares of the bounded sample to those of all labels; 0 while all are sampled."""
+    n = {r["_y"]: r["count"] for r in usable(labels, label_col, id_col).groupBy("_y").count().collect()}
+    if len(n) < 2:
+        return 0.0
+    return float(np.log(n[1] / min(n[1], s.sample)) - np.log(n[0] / min(n[0], s.sample)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col="doc_id", text_col="text"):
     """At most s.sample rows of each class, chosen by a hash of the id, of those that aren't held out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    known = known.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~kernel.held_out("_id", 5, 0)).dropDuplicates(["_id"])
+    known = usable(labels, label_col, id_col)
     rank = F.xxhash64("_id", F.lit(s.seed))
     chosen = known.where(F.col("_y") == 0).orderBy(rank, "_id").limit(s.sample).union(known.where(F.col("_y") == 1).orderBy(rank, "_id").limit(s.sample))
     chosen = F.broadcast(chosen)  # 2 * s.sample rows at most
@@ -145,7 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s: Setting
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col="quality", id_col="doc_id", text_col="text") -> Model:
     rows = training_rows(docs, labels, label_col, s, id_col, text_col)
-    return fit([r[1] for r in rows], [r[2] for r in rows], s)
+    return fit([r[1] for r in rows], [r[2] for r in rows], s, prior_shift(labels, label_col, s, id_col))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:

@@ -308,3 +308,12 @@ def test_language(spark):
 def test_codewords_differ(k):
     code = langid.codewords(k, langid.Settings())
     assert min((code[a] != code[b]).sum() for a in range(k) for b in range(a)) >= (1 if k == 2 else 2)
+
+
+@pytest.mark.parametrize(("operator", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_keep_the_true_shares_when_classes_are_sampled(spark, operator, column):
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("the same words in each").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias(column))
+    # both classes exceed the bound; the words tell nothing, so the score is the share
+    model = operator.train(docs, labels, operator.Settings(sample=60))
+    assert operator.score(docs, model).agg(F.max("score")).first()[0] == pytest.approx(0.1, abs=0.05)
