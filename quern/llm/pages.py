@@ -196,7 +196,7 @@ def verdict(path: str, own: list[int], prose: list[bool], near: list[tuple[str,
     if not shared:
         return []
     gone = {k for k in shared[0] if not (some and prose[k])}
-    if len(shared) >= 2 * reach:
+    if len(shared) >= 2:
         gone |= set.intersection(*shared)
     return sorted(gone)
 
@@ -234,8 +234,20 @@ def outlines(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, f"_t binary, _key {kind}, _host string, _path string, _prose array<boolean>, _hashes array<long>")
 
 
+def distinct_pages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row of the pages of a host that have the same lines, the first by path; and (_t, _host, _same) of all.
+
+    Pages without lines have nothing to share and stand beside none.
+    """
+    lines = F.concat(F.array_join("_hashes", ","), F.lit(";"), F.array_join(F.col("_prose").cast("array<string>"), ","))
+    rows = rows.where(F.size("_hashes") > 0).withColumn("_same", F.unhex(F.md5(lines.cast("binary"))))
+    first = F.min(F.struct("_path", "_key", "_t", "_prose", "_hashes")).alias("_first")
+    return rows.groupBy("_host", "_same").agg(first).select("_host", "_same", "_first.*"), rows.select("_t", "_host", "_same").distinct()
+
+
 def verdicts(rows: DataFrame, reach: int, copy_share: float) -> DataFrame:
-    """(_t, _gone): places of the lines that go, of pages that have any."""
+    """(_t, _gone): places of the lines that go, of pages that have any. Copies on a host share the verdict of one."""
+    rows, members = distinct_pages(rows)
     # places in the order of hosts and paths: sorted ranges, then the sizes of the ranges before
     order = ["_host", "_path", "_key", "_t"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -250,7 +262,7 @@ def verdicts(rows: DataFrame, reach: int, copy_share: float) -> DataFrame:
     near = F.struct(F.col("_step").alias("step"), F.col("_path").alias("path"), F.col("_hashes").alias("hashes"))
     sent = sent.select((F.col("_nth") + F.col("_step")).alias("_nth"), F.col("_host").alias("_from"), near.alias("_near"))
     met = ranged.join(sent, "_nth").where(F.col("_host") == F.col("_from"))
-    met = met.groupBy("_nth", "_t", "_path", "_prose", "_hashes").agg(F.array_sort(F.collect_list("_near")).alias("_near"))
+    met = met.groupBy("_nth", "_host", "_same", "_path", "_prose", "_hashes").agg(F.array_sort(F.collect_list("_near")).alias("_near"))
 
     def work(frames):
         for frame in frames:
@@ -258,11 +270,10 @@ def verdicts(rows: DataFrame, reach: int, copy_share: float) -> DataFrame:
                 verdict(r.path, list(r.hashes), list(r.prose), [(n["path"], list(n["hashes"])) for n in r.near], reach, copy_share)
                 for r in frame.rename(columns=lambda name: name.lstrip("_")).itertuples(index=False)
             ]
-            yield pd.DataFrame({"_t": frame["_t"], "_gone": gone})
+            yield pd.DataFrame({"_host": frame["_host"], "_same": frame["_same"], "_gone": gone})
 
-    found = met.mapInPandas(work, "_t binary, _gone array<int>").where(F.size("_gone") > 0)
-    # equal rows lose what any of them loses
-    return found.groupBy("_t").agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone"))
+    found = met.mapInPandas(work, "_host string, _same binary, _gone array<int>").where(F.size("_gone") > 0)
+    return members.join(found, ["_host", "_same"]).select("_t", "_gone")
 
 
 def kept_text(lines: list[tuple[str, bool]], gone) -> str:

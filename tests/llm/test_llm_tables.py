@@ -106,6 +106,19 @@ def test_differencing(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_runs_of_copies_and_short_hosts(spark):
+    def page(host, k, story, notice="Call us now"):
+        return (f"http://{host}.org/{k}", f"<article><p>{notice}<p>{story} begins<p>{story} ends</article>")
+
+    # three copies in a row; three pages only; one neighbour only, which isn't enough
+    rows = [page("a", k, f"Story {k // 3}") for k in range(9)] + [page("b", k, f"Tale {k}") for k in range(3)] + [page("c", k, f"Song {k}") for k in range(2)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(frame).collect()}
+    assert [got[k] for k in range(9)] == [f"Story {k // 3} begins\nStory {k // 3} ends" for k in range(9)]
+    assert [got[k] for k in range(9, 12)] == [f"Tale {k} begins\nTale {k} ends" for k in range(3)]
+    assert [got[k] for k in range(12, 14)] == [f"Call us now\nSong {k} begins\nSong {k} ends" for k in range(2)]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
