@@ -69,24 +69,21 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """The page's lines, each with whether it is prose of an article element."""
+    """The page's lines, each with whether it stands in an article element, in a link or not."""
     out: list[tuple[str, bool]] = []
     if not page:
         return out
     parts: list[str] = []
-    linked = 0  # characters of the current block that stand in links
     held: list[tuple[str, bool, bool]] = []  # open elements: name, left out, in an article
-    skip = article = in_link = False
+    skip = article = False
     raw, at, lower = "", 0, None
 
     def flush():
-        nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                out.append((text, article and 2 * linked < sum(map(len, parts))))
+                out.append((text, article))
             parts.clear()
-        linked = 0
 
     while at < len(page):
         if raw:  # what these hold is no markup
@@ -99,16 +96,13 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
         text = page[at : m.start() if m else len(page)]
         if text and not skip:
             parts.append(text)
-            linked += len(text) * in_link
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
-        if tag == "a":
-            in_link = not m[1]
-        elif tag == "br":
+        if tag == "br":
             parts.append(" ")
         if tag in BLOCKS or tag in DROPPED:
             flush()

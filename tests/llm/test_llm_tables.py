@@ -94,6 +94,12 @@ def test_lines():
     assert [t for t, _ in pages.lines_of("<div><p>a<script>x")] == ["a"]
 
 
+def test_linked_lines_of_an_article():
+    page = '<article><h1><a href="/x">Head</a></h1><p><a name="top">First<p>Second<ul><li><a href="/s">Source</a></ul></article><p><a href="/y">Outside</a>'
+    assert pages.lines_of(page) == [("Head", True), ("First", True), ("Second", True), ("Source", True), ("Outside", False)]
+    assert pages.kept_text(pages.lines_of(page), ()) == "Head\nFirst\nSecond\nSource"
+
+
 def test_differencing(spark):
     def page(k, body):
         return (k, f"http://a.org/en/{k}", f"<body><div>Top links</div><div>{body}</div><div>Read more here</div></body>", "clash")
