@@ -110,9 +110,10 @@ VI_WORDS = ("và", "của", "là", "có", "các", "được", "cho", "trong", "k
 EN_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "as", "was", "on", "by")
 
 
-def detect_language(hint: Column, text: Column) -> Column:
-    """Script shares, then marks, then frequent words, over the first 20 000 characters; und if nothing decides."""
-    sample = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 20_000))
+def detect_language(hint: Column, text: Column, limit: int | None = None) -> Column:
+    """Script shares, then marks, then frequent words, over the text or its first `limit` characters; und if nothing decides."""
+    sample = F.coalesce(text, F.lit(""))
+    sample = F.lower(sample if limit is None else F.substring(sample, 1, limit))
     letters = F.regexp_count(sample, F.lit(r"\p{L}"))
     tag = language_tag(hint)
     foreign = [(lang, F.regexp_count(sample, F.lit(rf"\p{{Is{script}}}"))) for lang, script in SCRIPTS]

@@ -35,6 +35,12 @@ def test_language(spark):
     assert got == ["vi", "en", "ru", "vi", "und"]
 
 
+def test_language_of_the_whole_text(spark):
+    rows = [("en", "the cat of the house " * 1000 + "và của là có các được " * 200)]
+    assert values(spark, rows, "h string, t string", T.detect_language(F.col("h"), F.col("t"))) == ["vi"]
+    assert values(spark, rows, "h string, t string", T.detect_language(F.col("h"), F.col("t"), 20_000)) == ["en"]
+
+
 def test_canonical_urls(spark):
     rows = ["https://A.vn/x/", "http://a.vn:80/", "https://a.vn:8080/X?q=1#f", "no url#x", None, "", "https://u:p@a.vn:443/a"]
     got = values(spark, [(r,) for r in rows], "u string", U.canonical(F.col("u")))
