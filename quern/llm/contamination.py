@@ -14,13 +14,16 @@ all its words if it has fewer. Patterns of one length make one searcher:
 All texts of a chunk move on together, one array step at a time, and long
 texts are cut into lanes that overlap by a window, so that steps stay few.
 
-The patterns are sent to the executors in blocks of `block` patterns, each one
-a pass over the documents: the bound on what is broadcast holds at any size of
-the benchmark. Hits of different blocks meet as word ranges, by document.
-
-Null and empty texts have no words and no hits. Null or empty items match
-nothing. Rows that repeat an id are searched each on their own; item ids that
-repeat count once. A null id is kept.
+The shift table grows with the patterns, so that at most one slot in sixteen is
+taken by a block of theirs. The patterns are sent to the executors in blocks of
+`block` patterns, each one a pass over the documents whose hits are written before
+the next block is built: the bound on what is broadcast holds at any size of the
+benchmark. Hits of different blocks meet as word ranges, by document.
+
+Null and empty texts have no words and no hits; texts of any length are searched
+whole. Null or empty items match nothing. Rows that repeat an id are searched each
+on their own; item ids that repeat count once. A null id is kept. An empty table
+gives no rows, an empty benchmark no hits. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import kernel
 
-TABLE_BITS = 16
 LANE = 512  # words that a lane moves over
+BLOCKS_PER_SLOT = 1 / 16  # of the shift table that are taken, at most: the rest lets the search move on
 
 
 class Words:
@@ -66,14 +69,16 @@ class Searcher:
         self.length, self.block = length, min(2, length)
         self.items = [patterns[p] for p in sorted(patterns)]
         self.phrases = sorted(patterns)
-        size, top = 1 << TABLE_BITS, np.uint64(64 - TABLE_BITS)
-        self.shift = np.full(size, length - self.block + 1, np.int64)
+        blocks = len(self.phrases) * (length - self.block + 1)
+        self.bits = max(16, int(np.ceil(np.log2(blocks / BLOCKS_PER_SLOT + 1))))
+        size, top = 1 << self.bits, np.uint64(64 - self.bits)
+        self.shift = np.full(size, min(length - self.block + 1, 127), np.int8)
         words = Words(next(kernel.chunks(pa.array(self.phrases, pa.binary()), 1 << 62)))
         suffixes, wholes = [], []
         for k in range(len(self.phrases)):
             own = words.hashes[words.firsts[k] : words.firsts[k + 1]]
             blocks = rolled(own, self.block)
-            np.minimum.at(self.shift, (blocks >> top).astype(np.int64), length - self.block - np.arange(len(blocks)))
+            np.minimum.at(self.shift, (blocks >> top).astype(np.int64), np.minimum(length - self.block - np.arange(len(blocks)), 127).astype(np.int8))
             suffixes.append(blocks[-1])
             wholes.append(rolled(own, length)[0])
         self.suffixes = np.unique(np.array(suffixes, np.uint64))
@@ -90,7 +95,7 @@ class Searcher:
         at = lo[text] + nth * LANE
         end = np.minimum(at + LANE, hi[text])
         blocks = rolled(words.hashes, b)
-        moves, found = self.shift[(blocks >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] if len(blocks) else self.shift[:0], []
+        moves, found = self.shift[(blocks >> np.uint64(64 - self.bits)).astype(np.int64)] if len(blocks) else self.shift[:0], []
         while len(at):
             step = moves[at + m - b]
             stopped = at[step == 0]
@@ -174,27 +179,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = 2
     The benchmark is read in slices of at most about `block` windows, the size of what is broadcast at once.
     """
     items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    # an item of n characters has n / 2 windows at most
     sizes = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     slices = max(1, -(-int(sizes) // (block * 4)))
     array_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    parts = []
-    for k in range(slices):
-        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+
+    def searched(frame: DataFrame, own: DataFrame, key: str, text: str) -> DataFrame:
         found_by = searchers(windows([tuple(r) for r in own.collect()], window))
 
-        def each(texts, found_by=found_by):
+        def each(texts):
             n, ranges, names = search(texts, found_by)
             pairs = [[{"a": a, "b": b} for a, b in r] for r in ranges]
             return [pa.array(n, pa.int64()), pa.array(pairs, array_type), pa.array(names, pa.list_(pa.string()))]
 
-        parts.append((own, each))
+        return kernel.by_batch(frame, key, text, each, HITS)
+
     if slices == 1:
-        return kernel.by_batch(docs, id_col, text_col, parts[0][1], HITS)
+        return searched(docs, items, id_col, text_col)
     # more slices: rows are numbered so that repeated ids stay apart, searched for each slice, and joined by number
     numbered = kernel.written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text")), "numbered")
     every = None
-    for _, each in parts:
-        one = kernel.by_batch(numbered, "_row", "_text", each, HITS)
+    for k in range(slices):
+        one = kernel.written(searched(numbered, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k), "_row", "_text").where((F.size("items") > 0) | F.lit(k == 0)), "hits")
         every = one if every is None else every.unionByName(one)
     joined = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("ranges"))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     step = "(acc, x) -> if(size(acc) > 0 and x.a <= element_at(acc, -1).b, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(x.b, element_at(acc, -1).b)))), concat(acc, array(x)))"

@@ -2,7 +2,7 @@
 
 Vectors are compared only within a label. They are scaled to length 1 and
 turned into the principal axes of all valid vectors, strongest first (the
-axes come from one matrix of sums over the whole table). Equal vectors of a
+axes come from one matrix of sums over the whole table, see AXES). Equal vectors of a
 label become one, with their number. A label's vectors are ordered along the
 first axis and cut into tiles; tiles meet only if their ranges on that axis
 allow the threshold, and each meeting is a row of its own, so that a hot label
@@ -18,8 +18,9 @@ row for each pair.
 Null vectors and labels, zero vectors and ones with null or non-finite
 components link with nothing. Vectors of another dimension than most of the
 table are compared among their own dimension only. Rows that repeat an id are
-vectors of their own that share the id (they link when alike). Other columns
-are ignored.
+vectors of their own that share the id (they link when alike). Vectors at the
+threshold exactly link. An empty table gives no rows. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.llm import kernel
 from quern.llm.components import components
 
+AXES = (8, 1024)  # matrices that are sent to all tasks, at most, and their dimension: 64 MB together
 SLACK = 1e-7  # bounds are compared with this much room; what is left is decided exactly
 
 
@@ -50,7 +51,12 @@ def unit(frame: pd.DataFrame) -> np.ndarray:
 
 
 def axes(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Of each dimension, the principal axes as columns. One matrix of sums for each task and dimension is added up."""
+    """Of the most frequent dimensions within AXES, the principal axes as columns. One matrix of sums for each task and dimension is added up.
+
+    Vectors of other dimensions are compared along their axes as given: the bounds hold for any, they only prune less.
+    """
+    often = rows.where(F.col("d") <= AXES[1]).groupBy("d").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "d").limit(AXES[0])
+    rows = rows.join(F.broadcast(often.select("d")), "d", "left_semi")
 
     def work(frames):
         sums: dict[int, np.ndarray] = {}
@@ -78,7 +84,7 @@ def turned(rows: DataFrame, by: dict[int, np.ndarray]) -> DataFrame:
     def work(frames):
         for frame in frames:
             for d, own in frame.groupby("d"):
-                yield own.assign(p0=unit(own) @ by[int(d)][:, 0])
+                yield own.assign(p0=unit(own) @ by[int(d)][:, 0] if int(d) in by else unit(own)[:, 0])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
     return rows.mapInPandas(work, fields + ", p0 double")
@@ -119,15 +125,9 @@ def links(vectors: DataFrame, threshold: float = 0.93, tile: int = 512, block: i
     members = kernel.written(keyed.select("id", "row", "label", "key").join(classes, ["label", "key"]).select("id", "row", "cls", "n"), "members")
     single = keyed.select("row", "label", "v", "d").join(classes.select(F.col("cls").alias("row"), "n"), "row").select("row", "label", "v", "d", "n")
     by = axes(single)
-    placed = kernel.written(turned(single, by), "turned")
-    # tiles along the first axis: a place within slices of the axis, then the slices' sums
-    slot = F.floor((F.col("p0") + 1) * 512).cast("int")
-    sizes = placed.groupBy("label", "d", slot.alias("slot")).agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("label", "d").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("label", "d", "slot", before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy("label", "d", "slot").orderBy("p0", "row")) - 1
-    placed = placed.withColumn("slot", slot).withColumn("nth", nth).join(sizes, ["label", "d", "slot"])
-    placed = kernel.written(placed.withColumn("tile", F.floor((F.col("before") + F.col("nth")) / tile)).select("label", "d", "tile", "row", "p0", "n", "v"), "tiles")
+    # tiles along the first axis, cut from one order of all labels
+    placed = kernel.in_order(turned(single, by), ["label", "d", "p0", "row"], "turned", "nth")
+    placed = kernel.written(placed.withColumn("tile", F.floor(F.col("nth") / tile)).select("label", "d", "tile", "row", "p0", "n", "v"), "tiles")
     ranges = placed.groupBy("label", "d", "tile").agg(F.min("p0").alias("lo"), F.max("p0").alias("hi"))
     ranges = kernel.written(ranges, "ranges")
     # two unit vectors with first components x and y have a cosine of at most x*y + sqrt((1-x*x)(1-y*y)),
@@ -149,7 +149,7 @@ def links(vectors: DataFrame, threshold: float = 0.93, tile: int = 512, block: i
     def work(frames):
         for frame in frames:
             for m in frame.itertuples():
-                a, b = (unpack(*own, by[m.d]) for own in ((m.ra, m.na, m.va), (m.rb, m.nb, m.vb)))
+                a, b = (unpack(*own, by.get(m.d), m.d) for own in ((m.ra, m.na, m.va), (m.rb, m.nb, m.vb)))
                 yield gathered(a, b, *compare(a, b, threshold, block, m.ta == m.tb))
 
     found = met.select("d", "ta", "tb", "ra", "na", "va", "rb", "nb", "vb").mapInPandas(work, "a long, b long, n long")
@@ -187,11 +187,11 @@ def pack(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [frame["label"].iloc[0]], "d": [frame["d"].iloc[0]], "tile": [frame["tile"].iloc[0]], "rows": [frame["row"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()]})
 
 
-def unpack(rows: bytes, n: bytes, v: bytes, turn: np.ndarray) -> dict:
-    v = np.frombuffer(v).reshape(-1, len(turn))
+def unpack(rows: bytes, n: bytes, v: bytes, turn: np.ndarray | None, d: int) -> dict:
+    v = np.frombuffer(v).reshape(-1, d)
     v = v / np.abs(v).max(1, keepdims=True)
     norm = np.sqrt((v * v).sum(1))
-    return {"rows": np.frombuffer(rows, np.int64), "n": np.frombuffer(n, np.int64), "p": (v / norm[:, None]) @ turn, "v": v, "norm": norm}
+    return {"rows": np.frombuffer(rows, np.int64), "n": np.frombuffer(n, np.int64), "p": v / norm[:, None] if turn is None else (v / norm[:, None]) @ turn, "v": v, "norm": norm}
 
 
 def groups(vectors: DataFrame, threshold: float = 0.93, id_col="vec_id", vec_col="embedding", label_col="label", **how) -> DataFrame:

@@ -21,15 +21,19 @@ between different sets is found or implied by other links of its component.
 4. The rest. Only lists that still hold classes of several components go on, and
    only pairs across components, again verified if they share enough.
 
-So no list is ever turned into all its pairs, and a large group of near copies
-costs about one comparison a member, and more only for members that look alike
-but don't link.
+A large group of near copies so costs about one comparison a member. Only classes
+that share a shingle of their prefixes without being connected are paired one by
+one in step 4: a list of m such classes gives up to m * m / 2 candidates, of two
+numbers each. The number of matches that a document asks for, l, lengthens its
+prefix, and decides which of the candidates are verified, not which are listed.
 
 Classes are known by a 64-bit hash of their set, shingles by one of their words.
 Null and empty texts have an empty set and link with nothing. A text of fewer
 words is one shingle. Rows that repeat an id or a text are linked by their
 texts like any others. A null id takes part; component ids are the smallest
-non-null id, null only if there is none. Other columns are ignored.
+non-null id, null only if there is none. Texts of any length are read whole; pairs
+at the threshold exactly link. An empty table gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

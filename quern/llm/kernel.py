@@ -7,6 +7,8 @@ chunk of its own), and all hashing is array arithmetic on that buffer.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20  # of an Arrow batch, about
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
@@ -107,6 +110,21 @@ def gram_hashes(buf: np.ndarray, n: int, bits: int) -> np.ndarray:
     return key >> np.uint32(32 - bits)
 
 
+def characters(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each character (its UTF-8 bytes), and each text's start and end among them."""
+    buf = chunk.buf
+    tail = (buf & 0xC0) == 0x80
+    if not tail.any():
+        return buf, chunk.starts, chunk.ends
+    lead = np.flatnonzero(~tail)
+    codes = buf[lead].astype(np.uint32)
+    size = np.diff(np.append(lead, len(buf)))
+    for k in range(1, 4):
+        own = np.flatnonzero(size > k)
+        codes[own] = codes[own] << np.uint32(8) | buf[lead[own] + k]
+    return codes, np.searchsorted(lead, chunk.starts), np.searchsorted(lead, chunk.ends)
+
+
 def by_batch(
     df: DataFrame,
     id_col: str,
@@ -115,6 +133,7 @@ def by_batch(
     schema: str,
 ) -> DataFrame:
     """each(texts) gives the columns after the id, for each Arrow batch; other columns of df are ignored."""
+    bounded(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     kept = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
@@ -128,16 +147,26 @@ def by_batch(
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; where the cluster names none, as in tests, /tmp/checkpoints."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that all executors share. Only where driver and executors are one process, as in tests, it may be unset: then /tmp/checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well, unless the session has a bound of its own: long texts make small batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
+    bounded(spark)
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -158,11 +187,6 @@ def held_out(id_col: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
-def sample_rows(labelled: DataFrame, bound: int, columns: list[str], order: str, size_col: str | None = None) -> list:
-    """At most `bound` rows, the first by a hash of `order`: the same rows at every run and partitioning."""
-    return labelled.orderBy(F.xxhash64(F.col(order)), F.col(order)).limit(bound).select(*columns).collect()
-
-
 def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """Whether a bucket of the column's top bits holds a value: 2**bits flags, whatever the number of rows."""
     bucket = F.shiftrightunsigned(column, 64 - bits)
@@ -178,21 +202,51 @@ def in_bitmap(flags: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return flags[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63)) & np.uint64(1) == 1
 
 
-def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
-    """docs, written with _row, a number for each row that later reads agree on."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+def in_order(df: DataFrame, order: list[str], name: str, place: str = "_nth") -> DataFrame:
+    """df, written, with each row's place from 0 in the order of the columns: sorted ranges, then the sizes of the ranges before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one number a partition
+    before, total = [], 0
+    for row in sorted(sizes):
+        before.append((row["_part"], total))
+        total += row["n"]
+    known = df.sparkSession.createDataFrame(pa.table({"_part": pa.array([b[0] for b in before], pa.int64()), "_before": pa.array([b[1] for b in before], pa.int64())}))
+    out = ranged.withColumn("_part", part).join(F.broadcast(known), "_part")  # one row a partition
+    return out.withColumn(place, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
+def first_rows(rows: DataFrame, chars: int) -> tuple[list, list]:
+    """Of written rows (_rank, _id, _n, ...) the first by rank that hold at most `chars` characters (_n) together; and (_rank, _id, _n) of all."""
+    sizes = sorted(tuple(r) for r in rows.select("_rank", "_id", "_n").collect())
+    fits = int(np.searchsorted(np.cumsum([r[2] for r in sizes]), chars, "right")) if sizes else 0
+    taken = {r[1] for r in sizes[:fits]}
+    held = rows if fits == len(sizes) else rows.where(F.col("_rank") <= sizes[fits - 1][0] if fits else F.lit(False))
+    return sorted((r for r in held.collect() if r["_id"] in taken), key=lambda r: r["_id"]), sizes
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores added until no column of df has the name, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
 
+def numbered(docs: DataFrame, row: str = "_row", name: str = "numbered") -> DataFrame:
+    """docs, written with a number for each row, in column `row`, that later reads agree on."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name)
 
-def without(rows: DataFrame, dropped: DataFrame, bits: int = 24) -> DataFrame:
-    """numbered() rows less those whose _row is in dropped. Rows that a bitmap clears stay where they are; only the others are joined."""
-    flags = bitmap(dropped.select(F.xxhash64("_row").alias("m")), "m", bits)
-    narrow = rows.withColumn("_m", F.xxhash64("_row"))
 
-    def sift(hit: bool):
-        def work(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(flags, batch.column("_m").to_numpy(), bits) == hit))
+def without(rows: DataFrame, dropped: DataFrame, bits: int = 24, row: str = "_row") -> DataFrame:
+    """numbered() rows less those whose number is in dropped. Rows that a bitmap clears stay where they are; only the others are joined."""
+    bounded(rows.sparkSession)
+    flags = bitmap(dropped.select(F.xxhash64(row).alias("m")), "m", bits)
 
-        return narrow.mapInArrow(work, narrow.schema).drop("_m")
+    @F.arrow_udf("boolean")
+    def marked(values: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(flags, values.to_numpy(), bits))
 
-    return sift(False).unionByName(sift(True).join(dropped.select("_row"), "_row", "left_anti"))
+    hit = marked(F.xxhash64(row))
+    return rows.where(~hit).unionByName(rows.where(hit).join(dropped.select(row), row, "left_anti"))

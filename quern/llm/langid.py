@@ -9,10 +9,14 @@ Up to seven languages use the exhaustive code (every split of the set, so any
 two codewords differ in 2**(K-2) bits); more use balanced pseudo-random bits,
 `Settings.redundancy` for each doubling of their number.
 
-Training rows are a bounded sample of each language (`Settings.sample`); every
-text is scored whole. A null text, and one without a letter, is `und` with
-score 0 and is ambiguous. With one language learned every other text gets it,
-with score 1; with none, everything is `und`.
+Every language is learned, from a bounded sample of its rows, the first by a hash
+of their ids (`Settings.sample`, `rows`, `sample_chars`); every text is scored
+whole, however long. A null text, and one without a letter, is `und` with score 0
+and is ambiguous. With one language learned every other text gets it, with score
+1; with none, as from an empty table, everything is `und`. Of rows that repeat an
+id the smallest language and text teach. Of codewords at one distance the first
+language by name wins. An empty table gives no rows. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,8 @@ class Settings:
     batch: int = 64
     rate: float = 0.5
     sample: int = 800  # rows of each language that are fitted on, at most
-    languages: int = 500  # the most frequent ones are learned
+    rows: int = 24_000  # of all languages: with more than 30, each has as many fewer
+    sample_chars: int = 48_000_000  # of their texts together, at most
     redundancy: int = 8
     margin: float = 0.1  # a decision by less is ambiguous
     seed: int = 5
@@ -170,20 +175,22 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
 
 def train(docs: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """From rows with a text, a language and an id whose crc32 modulo 4 isn't 2."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    rows = rows.where(F.col("_lang").isNotNull() & ~kernel.held_out("_id", 4, 2))
-    top = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(s.languages)
-    wanted = [r["_lang"] for r in top.collect()]
-    # the first rows of each language by a hash: found within slices of it, then among those
-    slot, rank = F.pmod(F.xxhash64("_id"), F.lit(64)), F.xxhash64("_id", F.lit(s.seed))
-    rows = rows.where(F.col("_lang").isin(wanted)).withColumn("_rank", rank).withColumn("_slot", slot)
-    for keys in (["_lang", "_slot"], ["_lang"]):
-        order = Window.partitionBy(*keys).orderBy("_rank", "_id")
-        rows = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= s.sample)
-    chosen = F.broadcast(rows.select("_id").distinct())  # at most languages * sample rows
-    held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    found = held.where(F.col("_text").rlike(r"\p{L}") & F.col("_lang").isin(wanted)).join(chosen, "_id").collect() if wanted else []
-    found = sorted({r["_id"]: r for r in found}.values(), key=lambda r: r["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    rows = rows.where(F.col("_lang").isNotNull() & ~kernel.held_out("_id", 4, 2) & F.col("_text").rlike(r"\p{L}"))
+    counts = kernel.written(rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_count")), "languages")
+    most = max(1, min(s.sample, s.rows // max(counts.count(), 1)))
+    # a hash under a bound that about `most` rows of the language keep, with room for chance; then the first of those
+    rank = F.xxhash64("_id", F.lit(s.seed))
+    room = most + 6 * most**0.5 + 10
+    part = F.shiftrightunsigned("_rank", 11) / F.lit(float(1 << 53))
+    near = rows.select("_id", "_lang").withColumn("_rank", rank).join(counts, "_lang").where(part * F.col("_count") <= room)
+    order = Window.partitionBy("_lang").orderBy("_rank", "_id")
+    chosen = near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+    chosen = F.broadcast(chosen.select("_id", "_rank").distinct())  # s.rows rows, or one for each language, at most
+    held = rows.join(chosen, "_id").groupBy("_id", "_rank").agg(F.min(F.struct("_lang", "_text")).alias("_r"))
+    held = kernel.written(held.select("_id", "_rank", "_r.*", F.length("_r._text").alias("_n")), "sample")
+    found, _ = kernel.first_rows(held, s.sample_chars)
+    kernel.discard(counts, held)
     return fit([r["_text"] for r in found], [r["_lang"] for r in found], s)
 
 

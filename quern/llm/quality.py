@@ -1,18 +1,22 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and byte n-grams are hashed into one table of learned vectors; a
+Words and character n-grams (of code points) are hashed into one table of learned vectors; a
 document is the mean of its vectors, and a softmax over two classes reads it.
-The families (words, pairs of adjacent words, byte n-grams of each length) are
+The families (words, pairs of adjacent words, character n-grams of each length) are
 averaged one by one first, so that the long lists of n-grams don't drown words.
 All is trained together by numpy stochastic gradient descent on the driver,
-from a bounded sample of labelled rows (`Settings.sample`).
+from a bounded sample of labelled rows (`Settings.sample` rows of each class and
+`Settings.sample_chars` characters, the first by a hash of the id).
 
 Once trained, the mean and the output layer are both linear, so the table
 folds to one number a bucket and a text is scored by gathers and one sum.
 
 Null and empty texts have no features; they get the score of the bias alone.
-A label that is null teaches nothing. With no labelled rows, or only one
-class, every score is that class's share (0.5 with none).
+Texts of any length are scored whole, and equal texts have equal scores. Labels
+that are null, or that differ for one id, teach nothing; of rows that repeat an
+id the smallest text teaches. With no labelled rows, or only one class, every
+score is that class's share (0.5 with none). An empty table gives no rows. keep()
+hands on all columns, whatever their names; score() ignores all but two.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ class Settings:
     batch: int = 64
     rate: float = 0.05
     sample: int = 3000  # rows of each class that are fitted on, at most
+    sample_chars: int = 24_000_000  # of their texts together, at most
     seed: int = 7
 
 
@@ -50,13 +55,14 @@ def features(chunk: kernel.Chunk, s: Settings):
     inside = np.ones(len(words), bool)
     inside[firsts[:-1][np.diff(firsts) > 0]] = False
     yield pairs[inside[1:]].astype(np.uint32), np.append(0, np.cumsum(np.maximum(np.diff(firsts) - 1, 0)))
+    codes, begin, end = kernel.characters(chunk)
     for n in s.grams:
         # grams run over the space after a text, and a gram that would run into the next text is cut off
-        buckets = kernel.gram_hashes(chunk.buf, n, s.bits)
-        own = np.maximum(chunk.ends - chunk.starts - n + 2, 0)
+        buckets = kernel.gram_hashes(codes, n, s.bits)
+        own = np.maximum(end - begin - n + 2, 0)
         keep = np.zeros(len(buckets) + 1, np.int8)
-        np.add.at(keep, chunk.starts[own > 0], 1)
-        np.add.at(keep, (chunk.starts + own)[own > 0], -1)
+        np.add.at(keep, begin[own > 0], 1)
+        np.add.at(keep, (begin + own)[own > 0], -1)
         yield buckets[np.cumsum(keep[:-1]).astype(bool)], np.append(0, np.cumsum(own))
 
 
@@ -92,12 +98,12 @@ def histograms(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray, n
             own = [b[f[i] : f[i + 1]] for b, f in families]
             weights = np.concatenate([np.full(len(b), 1 / (len(b) or 1) / len(own)) for b in own])
             buckets, place = np.unique(np.concatenate(own), return_inverse=True)
-            rows.append((buckets, np.bincount(place, weights, len(buckets)).astype(np.float32)))
+            rows.append((buckets.astype(np.uint16 if s.bits <= 16 else np.uint32), np.bincount(place, weights, len(buckets)).astype(np.float32)))
     return rows
 
 
 def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), shift: float = 0.0) -> Model:
-    """shift: log-odds from the shares of these rows to those of all, see prior_shift."""
+    """shift: log-odds from the shares of these rows to those of all, see Sample."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
@@ -132,34 +138,48 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), sh
     return Model(s, fold.astype(np.float32), float(bias[1] - bias[0]) + shift)
 
 
-def usable(labels: DataFrame, label_col: str, id_col="doc_id") -> DataFrame:
-    """(_id, _y) of the labels that aren't held out."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    return known.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~kernel.held_out("_id", 5, 0)).dropDuplicates(["_id"])
-
+@dataclass
+class Sample:
+    """Rows to fit on, by id, and the log-odds that take their class shares to those of all labels."""
 
-def prior_shift(labels: DataFrame, label_col: str, s: Settings, id_col="doc_id") -> float:
-    """The log-odds that take the class shares of the bounded sample to those of all labels; 0 while all are sampled."""
-    n = {r["_y"]: r["count"] for r in usable(labels, label_col, id_col).groupBy("_y").count().collect()}
-    if len(n) < 2:
-        return 0.0
-    return float(np.log(n[1] / min(n[1], s.sample)) - np.log(n[0] / min(n[0], s.sample)))
+    texts: list[str | None]
+    labels: list[int]
+    langs: list[str | None]
+    shift: float = 0.0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s: Settings, id_col="doc_id", text_col="text"):
-    """At most s.sample rows of each class, chosen by a hash of the id, of those that aren't held out."""
-    known = usable(labels, label_col, id_col)
-    rank = F.xxhash64("_id", F.lit(s.seed))
-    chosen = known.where(F.col("_y") == 0).orderBy(rank, "_id").limit(s.sample).union(known.where(F.col("_y") == 1).orderBy(rank, "_id").limit(s.sample))
-    chosen = F.broadcast(chosen)  # 2 * s.sample rows at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(chosen, "_id").select("_id", "_text", "_y").dropDuplicates(["_id"]).collect()
-    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
+def usable(labels: DataFrame, label_col: str, id_col="doc_id") -> DataFrame:
+    """(_id, _y) of the labels that aren't held out and don't contradict each other."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    known = known.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~kernel.held_out("_id", 5, 0))
+    return known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_max")).where("_y = _max").select("_id", "_y")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s, id_col="doc_id", text_col="text", lang_col: str | None = None) -> Sample:
+    """At most s.sample rows of each class and s.sample_chars characters in all, chosen by a hash of the id, of those that aren't held out."""
+    known = kernel.written(usable(labels, label_col, id_col).withColumn("_rank", F.xxhash64("_id", F.lit(s.seed))), "labels")
+    total = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    first = [known.where(F.col("_y") == y).orderBy("_rank", "_id").limit(s.sample) for y in (0, 1)]
+    chosen = F.broadcast(first[0].union(first[1]))  # 2 * s.sample rows at most
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), lang.alias("_lang"))
+    rows = texts.join(chosen, "_id").groupBy("_id", "_y", "_rank").agg(F.min("_text").alias("_text"), F.min("_lang").alias("_lang"))
+    rows = kernel.written(rows.withColumn("_n", F.coalesce(F.length("_text"), F.lit(0))), "sample")
+    found, _ = kernel.first_rows(rows, s.sample_chars)
+    met = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    kernel.discard(known, rows)
+    # shares: all labels of a class for each one that was looked for, those found for each one that fits
+    shift = 0.0
+    for y, sign in ((1, 1), (0, -1)):
+        kept = sum(r["_y"] == y for r in found)
+        if kept:
+            shift += sign * float(np.log(total[y] / min(total[y], s.sample)) + np.log(met[y] / kept))
+    return Sample([r["_text"] for r in found], [r["_y"] for r in found], [r["_lang"] for r in found], shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col="quality", id_col="doc_id", text_col="text") -> Model:
-    rows = training_rows(docs, labels, label_col, s, id_col, text_col)
-    return fit([r[1] for r in rows], [r[2] for r in rows], s, prior_shift(labels, label_col, s, id_col))
+    sample = training_rows(docs, labels, label_col, s, id_col, text_col)
+    return fit(sample.texts, sample.labels, s, sample.shift)
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
@@ -168,12 +188,11 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col="text") -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns."""
-    place = docs.columns.index(text_col)
+    """The rows of docs that score threshold or more, with all their columns: texts go to Python, rows stay in the JVM."""
+    kernel.bounded(docs.sparkSession)
 
-    def work(batches):
-        for batch in batches:
-            texts = batch.column(place)
-            yield batch.filter(pa.array(model.score(texts) >= threshold)) if batch.num_rows else batch
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(scored(F.col(f"`{text_col}`").cast("string")) >= threshold)

@@ -105,9 +105,10 @@ FROM v JOIN comp ON comp.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.spans(table(spark, sf_dir, "documents"), pii.train(spark))
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.train(spark, docs))
     counts = [F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ texts are known by a 128-bit hash, and equal texts of `length` bytes or more are
 removed whole without a look at their runs.
 
 Null and empty texts, and ones shorter than `length`, lose nothing. Repeated
-rows are copies of each other. Ids are only carried along; other columns are ignored.
+rows are copies of each other. Ids are only carried along; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
