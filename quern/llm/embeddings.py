@@ -70,7 +70,7 @@ def axes(rows: DataFrame) -> dict[int, np.ndarray]:
     parts = rows.select("v", "d").mapInPandas(work, "d int, i int, row array<double>")
     cells = parts.select("d", "i", F.posexplode("row").alias("j", "x")).groupBy("d", "i", "j").agg(F.sum("x").alias("x"))
     out = {}
-    for d, own in cells.toPandas().groupby("d"):
+    for d, own in cells.toArrow().to_pandas().groupby("d"):
         m = np.zeros((d, d))
         m[own["i"], own["j"]] = own["x"]
         _, vectors = np.linalg.eigh((m + m.T) / 2)

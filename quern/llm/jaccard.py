@@ -110,8 +110,8 @@ def frequent_shingles(docs: DataFrame, s: Settings, text_col: str) -> tuple[np.n
 
     texts = docs.select(F.col(text_col).cast("string").alias("_text"))
     counts = texts.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 8").orderBy(F.desc("n"), "token").limit(s.frequent).toPandas().sort_values("token")
-    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = counts.where("n >= 8").orderBy(F.desc("n"), "token").limit(s.frequent).toArrow().sort_by("token")
+    return top["token"].to_numpy(), top["n"].to_numpy()
 
 
 def prefix(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, int]:

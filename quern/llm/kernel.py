@@ -7,6 +7,8 @@ chunk of its own), and all hashing is array arithmetic on that buffer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -191,9 +193,9 @@ def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """Whether a bucket of the column's top bits holds a value: 2**bits flags, whatever the number of rows."""
     bucket = F.shiftrightunsigned(column, 64 - bits)
     words = values.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("flags"))
-    found = words.toPandas()
+    found = words.toArrow()  # as arrays: rows would be Python objects, up to half a million of them
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64)
+    out[found["w"].to_numpy().astype(np.int64)] = found["flags"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -226,6 +228,16 @@ def first_rows(rows: DataFrame, chars: int) -> tuple[list, list]:
     return sorted((r for r in held.collect() if r["_id"] in taken), key=lambda r: r["_id"]), sizes
 
 
+def release() -> None:
+    """Gives back the memory of the driver's Python that a fit has left unused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library has no such call, and gives memory back by itself
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores added until no column of df has the name, in upper or lower case."""
     taken = {c.lower() for c in df.columns}

@@ -179,7 +179,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s, id_col=
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col="quality", id_col="doc_id", text_col="text") -> Model:
     sample = training_rows(docs, labels, label_col, s, id_col, text_col)
-    return fit(sample.texts, sample.labels, s, sample.shift)
+    model = fit(sample.texts, sample.labels, s, sample.shift)
+    del sample
+    kernel.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
