@@ -30,9 +30,14 @@ def strip_diacritics(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else known.get(t) or known.setdefault(t, fold(t)))
 
 
+def composed(text: Column) -> Column:
+    """NFC. Only texts that hold a combining mark go through Python; of all others a null does."""
+    return F.coalesce(nfc(F.when(text.rlike(r"\p{M}"), text)), text)
+
+
 def cleaned(text: Column) -> Column:
-    """Lower case, everything but letters, digits and white space a space, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+    """NFC, lower case, everything but letters, digits and white space a space, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(composed(text), F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
 def syllables(text: Column) -> Column:
@@ -103,44 +108,62 @@ def snippet(words: list[str], width: int = 25):
     return shown
 
 
-# Marks of Vietnamese, frequent words of Vietnamese and English.
-VIETNAMESE = "ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ"
-SCRIPTS = (("zh", "Han"), ("ja", "Hiragana"), ("ja", "Katakana"), ("ko", "Hangul"), ("ru", "Cyrillic"), ("th", "Thai"), ("ar", "Arabic"))
-VI_WORDS = ("và", "của", "là", "có", "các", "được", "cho", "trong", "không", "với", "một", "người", "những", "này")
-EN_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "as", "was", "on", "by")
+# Letters that only Vietnamese has beside U+1EA0 to U+1EF9, languages of scripts, frequent words of Vietnamese and English, thresholds.
+VIETNAMESE = "ơưăđƠƯĂĐ"
+SCRIPTS = {"Han": "zh", "Hiragana": "ja", "Katakana": "ja", "Hangul": "ko", "Cyrillic": "ru", "Arabic": "ar", "Thai": "th", "Devanagari": "hi", "Hebrew": "he", "Greek": "el"}
+#: Scripts that are called by their own name.
+OTHER_SCRIPTS = "Armenian Bengali Cherokee Ethiopic Georgian Gujarati Gurmukhi Kannada Khmer Lao Malayalam Mongolian Myanmar Oriya Sinhala Syriac Tamil Telugu Thaana Tibetan Bopomofo".split()
+VI_WORDS = tuple("của và là được trong người những các có không cho với để này đã khi một đến về như từ cũng thì sẽ tại theo đó nhiều năm trên ở vào nhưng hơn phải làm việc".split())
+EN_WORDS = tuple(
+    "the of and to in is that for it with was on are be this have from has not but they which said will would about more been were their its than when who what "
+    "into also after over only other these such there his her our you he she we at by".split()
+)
+FOREIGN_SHARE, MARK_SHARE, VI_SHARE, EN_SHARE, EN_SHARE_HINTED, LEAST_WORDS = 0.10, 0.005, 0.05, 0.12, 0.05, 40
+
+
+def share_of(words: tuple[str, ...], text: Column, n: Column) -> Column:
+    """Share of the n runs of letters that are one of words; one pass, no list of words is built."""
+    return F.regexp_count(text, F.lit(r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})")) / n
 
 
 def detect_language(hint: Column, text: Column, limit: int | None = None) -> Column:
-    """Script shares, then marks, then frequent words, over the text or its first `limit` characters; und if nothing decides."""
+    """vi, en, another script's language, other (long, in Latin letters) or und, of the text or its first `limit` characters.
+
+    Scripts decide, then marks, then frequent words; a text with too few words is what the hint says, if that is vi or en.
+    """
     sample = F.coalesce(text, F.lit(""))
-    sample = F.lower(sample if limit is None else F.substring(sample, 1, limit))
-    letters = F.regexp_count(sample, F.lit(r"\p{L}"))
+    sample = sample if limit is None else F.substring(sample, 1, limit)
+    small = F.lower(sample)
     tag = language_tag(hint)
-    foreign = [(lang, F.regexp_count(sample, F.lit(rf"\p{{Is{script}}}"))) for lang, script in SCRIPTS]
-    most = F.greatest(*(n for _, n in foreign))
-    total = foreign[0][1]
-    for _, n in foreign[1:]:
-        total = total + n
-    script = F.coalesce(*(F.when(n == most, F.lit(lang)) for lang, n in foreign))
-    marks = F.regexp_count(sample, F.lit(f"[{VIETNAMESE}]"))
-    words = F.filter(F.split(sample, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.size(words)
-
-    def share(known):
-        return F.size(F.filter(words, lambda w: w.isin(*known))) / n
-
-    fallback = F.when(tag != "", tag).otherwise("und")
+    hinted = F.when(tag.isin("vi", "en"), tag).otherwise("und")
+    letters = F.regexp_count(sample, F.lit(r"\p{L}"))
+    marks = F.regexp_count(sample, F.lit(rf"[\u1EA0-\u1EF9{VIETNAMESE}]"))
+    foreign = F.regexp_count(sample, F.lit(r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"))
+    by_script: dict[str, Column] = {}
+    for script, lang in [*SCRIPTS.items(), *((x, x.lower()) for x in OTHER_SCRIPTS)]:
+        n = F.regexp_count(sample, F.lit(rf"[\p{{L}}&&\p{{Is{script}}}]"))
+        by_script[lang] = by_script[lang] + n if lang in by_script else n
+    # counted only where the branch is taken
+    most = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, n) in enumerate(by_script.items()))))
+    script = F.when(most["n"] > 0, most["lang"]).otherwise("other")
+    n = F.regexp_count(small, F.lit(r"\p{L}+"))
+    english = share_of(EN_WORDS, small, n)
     return (
-        F.when(letters == 0, fallback)
-        .when(total > 0.1 * letters, script)
-        .when(marks >= 0.005 * letters, F.lit("vi"))
-        .when(n < 40, fallback)
-        .when(share(VI_WORDS) >= 0.05, F.lit("vi"))
-        .when((share(EN_WORDS) >= 0.12) | (tag == "en") & (share(EN_WORDS) >= 0.05), F.lit("en"))
-        .otherwise(F.when(tag.isin("", "vi", "en"), F.lit("und")).otherwise(tag))
+        F.when(letters == 0, hinted)
+        .when(foreign > FOREIGN_SHARE * letters, script)
+        .when(marks >= MARK_SHARE * letters, F.lit("vi"))
+        .when(n < LEAST_WORDS, hinted)
+        .when(share_of(VI_WORDS, small, n) >= VI_SHARE, F.lit("vi"))
+        .when((english >= EN_SHARE) | (tag == "en") & (english >= EN_SHARE_HINTED), F.lit("en"))
+        .otherwise("other")
     )
 
 
+def language_accepted(detected: Column) -> Column:
+    """Vietnamese, English and what is too short to tell are kept."""
+    return detected.isin("vi", "en", "und")
+
+
 def looks_vietnamese(text: Column) -> Column:
     """Blank: no. Under 15 characters: yes. Else, whether folding changes it."""
     flat = F.trim(F.coalesce(text, F.lit("")))

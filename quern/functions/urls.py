@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(?:#.*)?$"
 
-# Fixed values.
-BLOCKED = ("jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "pdf", "zip", "rar", "gz", "mp3", "mp4", "avi", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
+# Extensions that are no pages, image types, host prefixes of other languages' editions, words of decorative images.
+BLOCKED = tuple(
+    "jpg jpeg png gif bmp webp svg ico tif tiff css js json xml rss atom woff woff2 ttf eot pdf doc docx xls xlsx ppt pptx odt csv "
+    "zip rar 7z tar gz bz2 exe msi apk dmg iso mp3 mp4 avi mkv mov wmv flv wav m4a webm".split()
+)
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "avif", "bmp", "svg")
-FOREIGN = ("cn.", "ja.", "jp.", "ko.", "kr.", "ru.", "fr.", "de.", "es.", "th.", "zh.")
+FOREIGN = ("cn.", "zh.", "ja.", "jp.", "ko.", "kr.", "ru.", "fr.", "es.", "de.", "pt.", "ar.", "th.", "lo.", "km.")
+DECORATIVE = "thumb|icon|logo|avatar|sprite|placeholder|blank|banner|badge|button|favicon|watermark|1x1|pixel|spacer"
 
 
 def part(url: Column, n: int) -> Column:
@@ -81,12 +85,16 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def declared_width(url: Column, attribute: Column) -> Column:
-    """From the attribute's digits, a w= parameter or a /640x480/ part; -1 if unknown."""
-    texts = [F.regexp_extract(F.coalesce(attribute, F.lit("")), r"^\s*([0-9]{1,9})", 1), F.regexp_extract(url, r"[?&]w(?:idth)?=([0-9]{1,9})", 1), F.regexp_extract(url, r"/([0-9]{1,9})x[0-9]{1,9}/", 1)]
+    """From the attribute's digits, a width parameter (w, width, rw, mw) or a size in the path (/640x480/, _640x480.jpg); -1 if unknown."""
+    texts = [
+        F.regexp_extract(F.coalesce(attribute, F.lit("")), r"^\s*([0-9]{1,9})", 1),
+        F.regexp_extract(url, r"(?i)[?&](?:w|width|rw|mw)=([0-9]{2,4})", 1),
+        F.regexp_extract(url, r"[_/-]([0-9]{3,4})x[0-9]{3,4}[_./-]", 1),
+    ]
     return F.coalesce(*(F.when(t != "", t.cast("int")) for t in texts), F.lit(-1))
 
 
 def image_tier(url: Column, width: Column) -> Column:
     """0 decorative, 3 at least 200 wide, 2 of unknown width, 1 small."""
-    decorative = extension(url).isin("svg", "gif", "ico", "bmp") | F.lower(part(url, 4)).rlike(r"(?:logo|icon|sprite|avatar|pixel|spacer|banner|placeholder)")
+    decorative = F.lower(url).rlike(rf"\.(?:svg|gif|ico|bmp)(?:\?|#|$)|{DECORATIVE}")
     return F.when(decorative, 0).when(width <= 0, 2).when(width >= 200, 3).otherwise(1)

@@ -74,6 +74,10 @@ def top_queries(events: DataFrame, n: int) -> DataFrame:
     return top(rows, "query", n)
 
 
+def top_users(events: DataFrame, n: int) -> DataFrame:
+    return top(events.where("coalesce(username, '') <> ''"), "username", n)
+
+
 def top_links(events: DataFrame, n: int) -> DataFrame:
     place = F.avg(F.when(F.col("position") > 0, F.col("position"))).alias("avg_position")
     return top(events.where("type = 'click' AND coalesce(url, '') <> ''"), "url", n, place)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as references
+import math
 import re
 
 import pandas as pd
@@ -57,6 +58,18 @@ def discovered(pages: DataFrame, max_depth: int, domains: tuple[str, ...] = ())
     return rows.withColumn("reason", U.reject_reason(F.col("url"), F.col("depth"), max_depth, domains))
 
 
+def language_checked(docs: DataFrame) -> DataFrame:
+    """docs with language as title and text show it, and accepted: Vietnamese, English or too little to tell."""
+    text = F.concat(F.coalesce(F.concat("title", F.lit(" ")), F.lit("")), F.coalesce("body_text", F.lit("")))
+    out = docs.withColumn("language", T.detect_language(F.col("language"), text))
+    return out.withColumn("accepted", T.language_accepted(F.col("language")))
+
+
+def language_counts(checked: DataFrame) -> DataFrame:
+    """(language, accepted, n): the filter's counters."""
+    return checked.groupBy("language", "accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
 PAGE = StructType([StructField(n, StringType()) for n in ("title", "description", "lang", "text")])
 REMOVED = re.compile(r"<(script|style|noscript|nav|footer|header|iframe|svg)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 
@@ -118,6 +131,42 @@ def best_images(found: DataFrame) -> DataFrame:
     return best.select("page_url", "b.image_url", "b.alt_text", "b.declared_width", F.col("r.tier").alias("tier"))
 
 
+def image_statistics(found: DataFrame) -> DataFrame:
+    """One row: images, distinct urls, pages with one, with and without alternative text, of known size."""
+    alt = F.trim(F.coalesce("alt_text", F.lit(""))) != ""
+    return found.agg(
+        F.count(F.lit(1)).alias("images"),
+        F.count_distinct("image_url").alias("urls"),
+        F.count_distinct("page_url").alias("pages"),
+        F.count_if(alt).alias("with_alt"),
+        F.count_if(~alt).alias("missing_alt"),
+        F.count_if(F.col("declared_width") > 0).alias("sized"),
+    )
+
+
+def by_host(rows: DataFrame, most: int) -> DataFrame:
+    """(host, pages, chars, missing_alt) of the `most` hosts with the most pages."""
+    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.count_if(F.trim(F.coalesce("alt_text", F.lit(""))) == "").alias("missing_alt"))
+    return counts.orderBy(F.desc("pages"), "host").limit(most)
+
+
+def bloom_size(n: int, p: float) -> tuple[int, int]:
+    """Bits (64 at least) and hashes of a filter for n keys with a share p of false positives."""
+    bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2))
+    return bits, max(1, round(bits / max(n, 1) * math.log(2)))
+
+
+def maybe_seen(seen: DataFrame, key: str, asked: DataFrame, p: float = 0.01) -> DataFrame:
+    """asked with maybe: false only if no row of seen has the key. The filter is a table of words, so it may be of any size."""
+    bits, hashes = bloom_size(seen.count(), p)
+    places = lambda rows: rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda k: F.pmod(F.xxhash64(F.col(key).cast("string"), k), F.lit(bits)))).alias("bit"))
+    flags = places(seen).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("flags"))
+    met = places(asked.distinct()).withColumn("word", F.shiftright("bit", 6)).join(flags, "word", "left")
+    hit = F.coalesce(F.expr("shiftright(flags, cast(bit & 63 AS int)) & 1L"), F.lit(0))
+    found = met.groupBy(key).agg((F.min(hit) == 1).alias("maybe"))
+    return asked.join(found, key)
+
+
 def image_search(results: DataFrame, best: DataFrame, most: int = 300) -> DataFrame:
     """results (url, rank) with their pages' images: a shared image goes to the first page; images with alternative text come first."""
     rows = results.join(best, F.col("url") == F.col("page_url"))

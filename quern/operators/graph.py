@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back, so that its lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quern.operators.scratch import discard, written
 
 
 def link_edges(docs: DataFrame) -> DataFrame:
@@ -54,9 +45,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon:
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank")), 0
     w = written(weighted(edges), "edges")
-    ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    ranks, last = nodes.select("node", F.lit(1.0 / n).alias("rank")), None
     for k in range(1, (fixed or most) + 1):
         after = written(step(ranks, w, n, damping), "ranks")
+        if last is not None:
+            discard(last)
+        last = after
         ranks = after.select("node", "rank")
         if fixed is None and after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < epsilon:
             return ranks, k

@@ -8,6 +8,8 @@ any tree costs one scan of the few terms' postings and one shuffle of them.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -59,40 +61,52 @@ class ParsedQuery:
 
 
 def words_of(text: str) -> list[str]:
-    return re.sub(r"[\W_]+", " ", text.lower()).split()
+    return re.sub(r"[\W_]+", " ", unicodedata.normalize("NFC", text).lower()).split()
 
 
-def parse(raw: str) -> ParsedQuery:
-    """Quoted phrases, -excluded, site:host, and OR (upper case) between words; the rest must occur."""
-    out = ParsedQuery()
+def parse(raw: str, tokenize: Callable[[str], list[str]] = words_of) -> ParsedQuery:
+    """Quoted phrases, -excluded, site:host, and OR (upper case) between words; the rest must occur.
 
-    def phrase(m):
-        if words := words_of(m[1]):
+    OR joins the last wanted word with the next, and with more that OR follows; where either is missing it is a word like others.
+    Words outside quotes are tokenized together, so that compounds are found across them.
+    """
+    out = ParsedQuery()
+    outside = []
+    for k, piece in enumerate(re.split(r'"([^"]*)"', raw or "")):
+        if k % 2 == 0:
+            outside.append(piece)
+        elif words := tokenize(piece):
             out.phrases.append(tuple(words))
-        return " "
-
-    rest = re.sub(r'"([^"]*)"', phrase, raw).split()
-    chains: list[list[str]] = []  # words that OR joins stand in one chain
-    joined = False
-    for word in rest:
-        if word == "OR":
-            joined = bool(chains)
-        elif joined:
-            chains[-1].append(word)
-            joined = False
-        else:
-            chains.append([word])
-    for chain in chains:
-        word = chain[0]
-        if len(chain) > 1:
-            if group := [w for c in chain for w in words_of(c)]:
-                out.or_groups.append(group)
-        elif word.lower().startswith("site:"):
-            out.site = word[5:].lower() or None
-        elif word.startswith("-") and len(word) > 1:
-            out.excluded += words_of(word[1:])
-        else:
-            out.must += words_of(word)
+    words = "".join(outside).split()
+    wanted: list[str] = []
+    excluded: list[str] = []
+    groups: list[list[str]] = []
+    at = 0
+    while at < len(words):
+        word = words[at]
+        at += 1
+        if word.lower().startswith("site:"):
+            out.site = word[len("site:") :].lower() or out.site
+        elif word == "OR" and wanted and at < len(words):
+            group = [wanted.pop(), words[at]]
+            while at + 2 < len(words) and words[at + 1] == "OR":
+                at += 2
+                group.append(words[at])
+            at += 1
+            if at < len(words) and words[at] == "OR" and at + 1 == len(words):
+                at += 1  # nothing follows the last one
+            groups.append(group)
+        elif word[0] != "-":
+            wanted.append(word)
+        elif len(word) > 1:
+            excluded.append(word[1:])
+    out.must, out.excluded = tokenize(" ".join(wanted)), tokenize(" ".join(excluded))
+    for group in groups:
+        terms = [t for word in group for t in tokenize(word)]
+        if len(terms) == 1:
+            out.must.append(terms[0])
+        elif terms:
+            out.or_groups.append(terms)
     return out
 
 
@@ -165,7 +179,7 @@ def evaluate(posts: DataFrame, node) -> DataFrame:
     return rows.where(condition(node, column)).select("doc_id")
 
 
-def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None, limit: int | None = None, df: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(doc_id) candidates, all or the `limit` with the lowest ids, and the terms dropped to have any.
 
     Unknown terms go first, then the term that most documents have, and so on,
@@ -176,7 +190,8 @@ def resolve(posts: DataFrame, q: ParsedQuery, on_site: DataFrame | None = None,
     every = sorted({*q.terms(), *q.excluded})
     if not every:
         return posts.select("doc_id").limit(0), []
-    known = {r["term"]: r["df"] for r in posts.where(F.col("term").isin(*q.must or [""])).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    counted = posts.where(F.col("term").isin(*q.must or [""])).groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df.where(F.col("term").isin(*q.must or [""]))
+    known = {r["term"]: r["df"] for r in counted.collect()}  # one row a query term
     musts = list(dict.fromkeys(q.must))
     fixed = [n for n in to_ast(ParsedQuery([], q.phrases, q.excluded, q.or_groups)).children]
     unknown = [t for t in musts if t not in known]

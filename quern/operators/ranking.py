@@ -26,29 +26,38 @@ def tf_weight(tf: Column) -> Column:
     return F.when(tf <= 0, 0.0).otherwise(1 + F.log10(tf.cast("double")))
 
 
-def term_rows(posts: DataFrame, lens: DataFrame, terms: list[str], candidates: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Known:
+    """What a stored index has counted already: (term, df), and one row of totals."""
+
+    df: DataFrame | None = None
+    totals: DataFrame | None = None
+
+
+def term_rows(posts: DataFrame, lens: DataFrame, terms: list[str], candidates: DataFrame | None = None, known: Known = Known()) -> DataFrame:
     """(doc_id, term, tf, df, doc_length, n_docs, avgdl) of the query's terms. Everything but the postings of these terms is one row or is joined by document."""
     rows = posts.where(F.col("term").isin(*terms or [""])).select("term", "doc_id", "tf")
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if known.df is None else known.df.where(F.col("term").isin(*terms or [""])).select("term", "df")
+    sums = totals(lens) if known.totals is None else known.totals.select("n_docs", "avgdl")
     if candidates is not None:
         rows = rows.join(candidates.select("doc_id"), "doc_id", "left_semi")
     rows = rows.join(F.broadcast(df), "term")  # one row a query term
-    return rows.join(lens.select("doc_id", "doc_length"), "doc_id").crossJoin(F.broadcast(totals(lens)))
+    return rows.join(lens.select("doc_id", "doc_length"), "doc_id").crossJoin(F.broadcast(sums))
 
 
-def bm25(posts: DataFrame, lens: DataFrame, terms: list[str], candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(posts: DataFrame, lens: DataFrame, terms: list[str], candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, known: Known = Known()) -> DataFrame:
     """(doc_id, score); a term counts once however often the query has it."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 >= 0 and 0 <= b <= 1")
-    rows = term_rows(posts, lens, sorted(set(terms)), candidates)
+    rows = term_rows(posts, lens, sorted(set(terms)), candidates, known)
     norm = k1 * (1 - b + b * F.col("doc_length") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
     part = bm25_idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
-def tfidf(posts: DataFrame, lens: DataFrame, terms: dict[str, int], candidates: DataFrame | None = None) -> DataFrame:
+def tfidf(posts: DataFrame, lens: DataFrame, terms: dict[str, int], candidates: DataFrame | None = None, known: Known = Known()) -> DataFrame:
     """(doc_id, score): cosine over the query's norm and the square root of the document's length; terms that every document has drop out."""
-    rows = term_rows(posts, lens, sorted(terms), candidates)
+    rows = term_rows(posts, lens, sorted(terms), candidates, known)
     times = F.element_at(F.create_map(*(F.lit(x) for t in sorted(terms) for x in (t, terms[t]))), F.col("term")) if terms else F.lit(1)
     idf = tfidf_idf(F.col("n_docs"), F.col("df"))
     rows = rows.withColumn("_idf", idf).where("_idf > 0").withColumn("_q", tf_weight(times) * F.col("_idf"))
@@ -90,7 +99,8 @@ class Ranking:
 def score(index: SearchIndex, q: ParsedQuery, candidates: DataFrame, how: Ranking = Ranking(), ranks: DataFrame | None = None) -> DataFrame:
     """Candidates with their documents' columns and score."""
     terms = q.terms()
-    base = bm25(index.postings, index.docs, [*terms], candidates) if how.base == "bm25" else tfidf(index.postings, index.docs, terms, candidates)
+    known = Known(index.terms, index.totals)
+    base = bm25(index.postings, index.docs, [*terms], candidates, known=known) if how.base == "bm25" else tfidf(index.postings, index.docs, terms, candidates, known)
     rows = candidates.join(index.docs, "doc_id").join(base, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     if ranks is not None and how.pagerank:
         positive = F.when(F.col("rank") > 0, F.col("rank"))
@@ -118,9 +128,9 @@ def page_bounds(page: int, size: int) -> tuple[int, int]:
 
 def search(index: SearchIndex, raw: str, page: int = 1, size: int = 20, how: Ranking = Ranking(), ranks: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """A page of results (rank, doc_id, url, title, score, snippet) and the dropped terms."""
-    q = parse(raw)
+    q = parse(raw, index.tokenizer.words)
     where = index.docs.where(on_site(F.col("url"), q.site)).select("doc_id") if q.site else None
-    found, dropped = resolve(index.postings, q, where, MAX_CANDIDATES)
+    found, dropped = resolve(index.postings, q, where, MAX_CANDIDATES, index.terms)
     offset, size = page_bounds(page, size)
     best = score(index, q, found, how, ranks).orderBy(F.desc("score"), F.asc("doc_id")).limit(offset + size).offset(offset)
     return best.select("doc_id", "url", "title", site(F.col("url")).alias("host"), "score", snippet([*q.terms()])("body_text").alias("snippet")), dropped

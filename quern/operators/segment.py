@@ -24,10 +24,12 @@ def weight(frequency: int, n: int) -> float:
     return math.log2(frequency + 3) ** power * n**length
 
 
-def dictionary(words: DataFrame) -> dict[str, float]:
-    """The largest weight of each word of 1 to 4 syllables, from (word, frequency)."""
+def dictionary(words: DataFrame, most: int = 2_000_000) -> dict[str, float]:
+    """The largest weight of each word of 1 to 4 syllables, from (word, frequency). It is sent to all tasks, so more than `most` words are an error."""
     rows = words.select(F.lower(F.trim(F.regexp_replace("word", r"\s+", " "))).alias("word"), "frequency").where("word <> ''")
     rows = rows.where(F.size(F.split("word", " ")) <= LONGEST).groupBy("word").agg(F.max("frequency").alias("f"))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a dictionary of more than {most} words")
     return {(w := unicodedata.normalize("NFC", r["word"])): weight(r["f"], w.count(" ") + 1) for r in rows.collect()}
 
 

@@ -60,6 +60,11 @@ def upsert_downloads(table: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*(pick(c) for c in table.columns))
 
 
+def started(table: DataFrame, requests: DataFrame) -> DataFrame:
+    """table with the requests whose id it doesn't have: a download that was started before stays as it is."""
+    return table.unionByName(requests.join(table.select("id"), "id", "left_anti").select(*table.columns))
+
+
 def merge_settings(table: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(username, settings MAP, version) merged with changes (username, patch, removed, replace, expected): the new table and the changes whose expected version was another."""
     both = table.join(changes, "username", "full")
@@ -153,7 +158,7 @@ def merged_downloads(local: DataFrame, remote: DataFrame) -> DataFrame:
 def ranked_matches(matches: DataFrame) -> DataFrame:
     """Live ones, then finished (newest first), then scheduled (soonest first)."""
     weight = F.when(F.col("status") == "LIVE", 0).when(F.col("status") == "FINISHED", 1).otherwise(2)
-    at = F.unix_micros("kickoff")
+    at = F.unix_micros(F.col("kickoff").cast("timestamp"))
     return matches.orderBy(weight, F.when(F.col("status") == "FINISHED", -at).otherwise(at), "match_id")
 
 

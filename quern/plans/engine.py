@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
-from quern.operators import analytics, crawl, graph, index, ranking, suggest
+from quern.operators import analytics, crawl, graph, index, ranking, scratch, suggest
 from quern.operators.query import parse
 
 
 class SearchEngine:
-    """An index with ranks, suggestions and images; results are cached by parsed query and page until the next build."""
+    """An index with ranks, suggestions and images; results are cached by parsed query and page until the next build.
 
-    def __init__(self, docs: DataFrame, stopwords: tuple[str, ...] = (), images: DataFrame | None = None, cached: int = 500):
-        self.stopwords, self.cached = stopwords, cached
+    A build stores the index and the suggestions in the shared folder (or under `path`): searches read them, never the texts.
+    """
+
+    def __init__(self, docs: DataFrame, stopwords: tuple[str, ...] = (), images: DataFrame | None = None, cached: int = 500, tokenizer: index.Tokenizer | None = None, path: str | None = None):
+        self.tokenizer, self.cached, self.path = tokenizer or index.plain(stopwords), cached, path
         self.build(docs, images)
 
     def build(self, docs: DataFrame, images: DataFrame | None = None) -> None:
         self.docs, self.images = docs, images
-        self.index = index.build(docs, self.stopwords)
+        path = f"{self.path}/index" if self.path else scratch.path(docs.sparkSession, "index")
+        self.index = index.stored(index.build(docs, tokenizer=self.tokenizer), path)
         self.ranks: DataFrame | None = None
         self.iterations = 0
-        self.counts = suggest.bigrams(docs.where(T.looks_vietnamese(F.col("title"))).select(T.syllables(F.col("title")).alias("words")), "words", 3).select(F.col("phrase").alias("key"), F.col("phrase").alias("display"), "frequency")
+        titles = docs.where(T.looks_vietnamese(F.col("title"))).select(self.tokenizer.terms(F.col("title")).alias("words"))
+        phrases = suggest.phrases(titles, "words", 3).withColumnRenamed("phrase", "display")
+        self.counts = scratch.written(suggest.both_forms(phrases), "suggestions")
+        self.learned: Counter = Counter()
         self._cache: OrderedDict = OrderedDict()
         self.hits = self.misses = 0
 
@@ -40,7 +47,7 @@ class SearchEngine:
 
     def search(self, q: str, page: int = 1, size: int = 20, how: ranking.Ranking = ranking.Ranking()) -> list[dict]:
         """A page of at most 100 results."""
-        key = (repr(parse(q)), page, size, how)
+        key = (repr(parse(q, self.tokenizer.words)), page, size, how)
         if key in self._cache:
             self.hits += 1
             self._cache.move_to_end(key)
@@ -51,12 +58,25 @@ class SearchEngine:
         if len(self._cache) > self.cached:
             self._cache.popitem(last=False)
         if rows:
-            learned = self.counts.sparkSession.createDataFrame([(" ".join(q.lower().split()),)], "query STRING")
-            self.counts = suggest.learned(self.counts, learned)
+            self.learn(q)
         return rows
 
+    def learn(self, q: str, most: int = 1000) -> None:
+        """Successful queries are kept aside, `most` of them at once, then folded into the stored suggestions."""
+        self.learned[" ".join(q.lower().split())] += 1
+        if len(self.learned) >= most:
+            before, self.counts = self.counts, scratch.written(self.known_phrases(), "suggestions")
+            self.learned.clear()
+            scratch.discard(before)
+
+    def known_phrases(self) -> DataFrame:
+        if not self.learned:
+            return self.counts
+        new = self.counts.sparkSession.createDataFrame([(q, n) for q, n in self.learned.items()], "query STRING, n INT")
+        return suggest.learned(self.counts, new.select("query", F.explode(F.sequence(F.lit(1), "n"))).select("query"))
+
     def suggest(self, prefix: str, limit: int = 10) -> DataFrame:
-        return suggest.by_prefix(self.counts, prefix, limit, "key", "display")
+        return suggest.by_prefix(self.known_phrases(), prefix, limit, "key", "display")
 
     def search_images(self, q: str, size: int = 30) -> DataFrame:
         """Images of the best 300 pages, in their order."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.operators import crawl as cr
 from quern.operators import index as ix
 from quern.operators import query as qy
 from quern.operators import ranking as rk
 from quern.operators import suggest
+from quern.operators.scratch import numbered
 from quern.plans.base import Tables, query
 
 FLAT = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -27,13 +28,17 @@ def toks(t: Tables) -> DataFrame:
 
 
 def posts(t: Tables, *terms: str) -> DataFrame:
-    """Postings; of the given terms only, the others never leave the scan."""
-    rows = toks(t)
-    return ix.postings(rows.where(F.col("term").isin(*terms)) if terms else rows)
+    """Stored postings; of the given terms only, the scan skips the others."""
+    rows = t.index.postings
+    return rows.where(F.col("term").isin(*terms)) if terms else rows
 
 
 def lens(t: Tables) -> DataFrame:
-    return ix.lengths(t.documents, "doc_id", F.col("text"))
+    return t.index.docs.select("doc_id", "doc_length")
+
+
+def known(t: Tables) -> rk.Known:
+    return rk.Known(t.index.terms, t.index.totals)
 
 
 @query("index_postings", WITH + "SELECT t.term, t.doc_id, count(*)::INT AS tf, min(position)::INT AS first_position, max(position)::INT AS last_position FROM t GROUP BY ALL")
@@ -44,14 +49,12 @@ def _(t):
 
 @query("index_document_frequency", WITH + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def _(t):
-    # a partial count by term and document first, so that frequent terms reach the second one summed
-    return toks(t).groupBy("term", "doc_id").count().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("cf"))
+    return posts(t).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("index_totals", WITH + "SELECT n AS n_docs, (SELECT sum(doc_length) FROM l)::BIGINT AS total_length, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM t) AS term_count FROM s")
 def _(t):
-    terms = toks(t).select("term").distinct().agg(F.count(F.lit(1)).alias("term_count"))
-    return ix.totals(lens(t)).withColumn("avgdl", F.round("avgdl", 6)).crossJoin(F.broadcast(terms))
+    return t.index.totals.select("n_docs", "total_length", F.round("avgdl", 6).alias("avgdl"), F.col("terms").alias("term_count"))
 
 
 @query("index_doc_lengths", WITH + "SELECT doc_id, doc_length::INT AS doc_length FROM l")
@@ -62,13 +65,13 @@ def _(t):
 @query("index_folded_terms", WITH + ", f AS (SELECT doc_id, replace(strip_accents(term), 'đ', 'd') AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df FROM f GROUP BY term")
 def _(t):
     # folding comes after the distinct: each form of a word is folded once a document
-    pairs = toks(t).select("doc_id", "term").distinct()
+    pairs = posts(t).select("doc_id", "term")
     return pairs.select("doc_id", T.strip_diacritics("term").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("index_renumbered", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS new_id FROM documents")
 def _(t):
-    return t.documents.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("new_id"))
+    return numbered(t.documents.select("doc_id"), ["doc_id"], "new_id").select("doc_id", F.col("new_id").cast("int").alias("new_id"))
 
 
 def has(term: str) -> str:
@@ -147,30 +150,30 @@ def best(rows: DataFrame, k: int = 10) -> DataFrame:
 @query("rank_bm25_top10", WITH + top10(BM25.format(terms="'the', 'that'") + " HAVING count(*) = 2"))
 def bm25_top10(t):
     p = posts(t, "the", "that")
-    found, _ = qy.resolve(p, qy.ParsedQuery(must=["the", "that"]))
-    return best(rk.bm25(p, lens(t), ["the", "that"], found))
+    found, _ = qy.resolve(p, qy.ParsedQuery(must=["the", "that"]), df=t.index.terms)
+    return best(rk.bm25(p, lens(t), ["the", "that"], found, known=known(t)))
 
 
 @query("rank_bm25_all", WITH + "SELECT doc_id, round(score, 6) AS score FROM (" + BM25.format(terms="'was', 'with', 'from'") + ")")
 def _(t):
-    return rk.bm25(posts(t, "was", "with", "from"), lens(t), ["was", "with", "from"]).withColumn("score", F.round("score", 6))
+    return rk.bm25(posts(t, "was", "with", "from"), lens(t), ["was", "with", "from"], known=known(t)).withColumn("score", F.round("score", 6))
 
 
 @query("rank_tfidf_top10", WITH + top10(TFIDF.format(terms="'was', 'with'")))
 def _(t):
-    return best(rk.tfidf(posts(t, "was", "with"), lens(t), {"was": 1, "with": 1}))
+    return best(rk.tfidf(posts(t, "was", "with"), lens(t), {"was": 1, "with": 1}, known=known(t)))
 
 
 @query("rank_page_two", WITH + f"SELECT doc_id, round(score, 6) AS score FROM ({BM25.format(terms=repr('and'))}) ORDER BY round(score, 6) DESC, doc_id LIMIT 10 OFFSET 10")
 def _(t):
     offset, size = rk.page_bounds(2, 10)
-    rows = rk.bm25(posts(t, "and"), lens(t), ["and"]).withColumn("score", F.round("score", 6))
+    rows = rk.bm25(posts(t, "and"), lens(t), ["and"], known=known(t)).withColumn("score", F.round("score", 6))
     return rows.orderBy(F.desc("score"), "doc_id").limit(offset + size).offset(offset)
 
 
 @query("score_scale", WITH + "SELECT round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, count(*) AS n FROM (" + TFIDF.format(terms="'was', 'with'") + ")")
 def _(t):
-    rows = rk.tfidf(posts(t, "was", "with"), lens(t), {"was": 1, "with": 1})
+    rows = rk.tfidf(posts(t, "was", "with"), lens(t), {"was": 1, "with": 1}, known=known(t))
     return rows.agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("max_score"), F.count(F.lit(1)).alias("n"))
 
 
@@ -182,16 +185,16 @@ def _(t):
     + ") JOIN w USING (doc_id)",
 )
 def _(t):
-    rows = rk.bm25(posts(t, "the", "that"), lens(t), ["the", "that"]).join(t.documents.select("doc_id", F.array_join(F.slice(T.syllables(F.col("text")), 1, 8), " ").alias("title")), "doc_id")
+    rows = rk.bm25(posts(t, "the", "that"), lens(t), ["the", "that"], known=known(t)).join(t.documents.select("doc_id", F.array_join(F.slice(T.syllables(F.col("text")), 1, 8), " ").alias("title")), "doc_id")
     return rows.select("doc_id", F.round(rk.title_boost(F.col("score"), T.title_ratio(F.col("title"), ["the", "that"])), 6).alias("score"))
 
 
 @query("suggest_prefix", WITH + "SELECT term, sum(tf)::BIGINT AS frequency FROM p WHERE starts_with(term, 'the') GROUP BY term ORDER BY frequency DESC, term LIMIT 10")
 def _(t):
-    return suggest.by_prefix(toks(t).groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "the", 10)
+    return suggest.by_prefix(posts(t).groupBy("term").agg(F.sum("tf").alias("frequency")), "the", 10)
 
 
-@query("suggest_bigrams", WITH + "SELECT a.term || ' ' || b.term AS phrase, count(*) AS frequency FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.position < 11 GROUP BY ALL HAVING count(*) >= 3")
+@query("suggest_bigrams", WITH + "SELECT a.term || ' ' || b.term AS phrase, count(*) AS frequency FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.position = a.position + 1 GROUP BY ALL HAVING count(*) >= 3")
 def _(t):
     return suggest.bigrams(t.documents.select(T.syllables(F.col("text")).alias("words")), "words", 3)
 
@@ -219,17 +222,27 @@ def _(t):
     return t.documents.groupBy(F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("und")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SAMPLE = "lower(substring(text, 1, 20000))"
+VI_SQL = "'của','và','là','được','trong','người','những','các','có','không','cho','với','để','này','đã','khi','một','đến','về','như','từ','cũng','thì','sẽ','tại','theo','đó','nhiều','năm','trên','ở','vào','nhưng','hơn','phải','làm','việc'"
+EN_SQL = "'the','of','and','to','in','is','that','for','it','with','was','on','are','be','this','have','from','has','not','but','they','which','said','will','would','about','more','been','were','their','its','than','when','who','what','into','also','after','over','only','other','these','such','there','his','her','our','you','he','she','we','at','by'"
+#: Texts in the tables are in Latin letters; other scripts are tested on a fixture.
+LANGUAGE_SQL = f"""x AS (SELECT doc_id, CASE WHEN lang IN ('vi', 'en') THEN lang ELSE 'und' END AS hint, len(regexp_extract_all(coalesce(text, ''), '\\p{{L}}')) AS letters,
+  len(regexp_extract_all(coalesce(text, ''), '[ơưăđƠƯĂĐ\\x{{1EA0}}-\\x{{1EF9}}]')) AS marks, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda w: w <> '') AS ws FROM documents),
+y AS (SELECT *, len(list_filter(ws, lambda w: w IN ({VI_SQL}))) / len(ws) AS vi, len(list_filter(ws, lambda w: w IN ({EN_SQL}))) / len(ws) AS en FROM x),
+lang AS (SELECT doc_id, CASE WHEN letters = 0 THEN hint WHEN marks >= 0.005 * letters THEN 'vi' WHEN len(ws) < 40 THEN hint WHEN vi >= 0.05 THEN 'vi'
+  WHEN en >= 0.12 OR hint = 'en' AND en >= 0.05 THEN 'en' ELSE 'other' END AS detected FROM y)"""
 
 
-@query(
-    "language_detected",
-    f"""WITH x AS (SELECT doc_id, lang, len(regexp_extract_all({_SAMPLE}, '\\p{{L}}')) AS letters, len(regexp_extract_all({_SAMPLE}, '[{T.VIETNAMESE}]')) AS marks,
-  list_filter(regexp_split_to_array({_SAMPLE}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents)
-SELECT doc_id, CASE WHEN letters = 0 THEN lang WHEN marks >= 0.005 * letters THEN 'vi' WHEN len(ws) < 40 THEN lang
-  WHEN len(list_filter(ws, lambda w: w IN {T.VI_WORDS})) / len(ws) >= 0.05 THEN 'vi'
-  WHEN len(list_filter(ws, lambda w: w IN {T.EN_WORDS})) / len(ws) >= CASE WHEN lang = 'en' THEN 0.05 ELSE 0.12 END THEN 'en'
-  WHEN lang IN ('vi', 'en') THEN 'und' ELSE lang END AS detected FROM x""",
-)
+@query("language_detected", f"WITH {LANGUAGE_SQL} SELECT doc_id, detected FROM lang")
 def _(t):
     return t.documents.select("doc_id", T.detect_language(F.col("lang"), F.col("text")).alias("detected"))
+
+
+@query("language_filter", f"WITH {LANGUAGE_SQL} SELECT detected AS language, detected IN ('vi', 'en', 'und') AS accepted, count(*) AS n FROM lang GROUP BY ALL")
+def _(t):
+    rows = t.documents.select(F.col("lang").alias("language"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body_text"))
+    return cr.language_counts(cr.language_checked(rows))
+
+
+@query("looks_vietnamese", "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN false WHEN length(trim(text)) < 15 THEN true ELSE replace(replace(strip_accents(trim(text)), 'đ', 'd'), 'Đ', 'D') <> trim(text) END AS yes FROM documents")
+def _(t):
+    return t.documents.select("doc_id", T.looks_vietnamese(F.col("text")).alias("yes"))

@@ -218,7 +218,7 @@ def trade(t: Tables) -> DataFrame:
 
 
 def pagerank_sql(rounds: int) -> str:
-    out = f"WITH e AS MATERIALIZED (SELECT src, dst FROM ({TRADE}) WHERE src % 3 <> 0 AND src <> dst), w AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM e GROUP BY src, dst), r0 AS (SELECT n_nationkey AS node, 1.0::DOUBLE / (SELECT count(*) FROM nation) AS rank FROM nation)"
+    out = f"WITH e AS MATERIALIZED (SELECT src, dst FROM ({TRADE}) WHERE src <> dst), w AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM e GROUP BY src, dst), r0 AS (SELECT n_nationkey AS node, 1.0::DOUBLE / (SELECT count(*) FROM nation) AS rank FROM nation)"
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"
         out += f", r{k} AS MATERIALIZED (SELECT p.node, 0.15 / (SELECT count(*) FROM nation) + 0.85 * (coalesce((SELECT sum(q.rank * w.w) FROM {p} q JOIN w ON w.src = q.node WHERE w.dst = p.node), 0) + (SELECT coalesce(sum(rank), 0) FROM {p} WHERE node NOT IN (SELECT src FROM w)) / (SELECT count(*) FROM nation)) AS rank FROM {p} p)"
@@ -231,7 +231,7 @@ def _(t):
     return ranks.select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("sparse_product", f"SELECT src AS row, sum(n)::DOUBLE AS value FROM (SELECT src, dst, count(*) AS n FROM ({TRADE}) WHERE src % 3 <> 0 AND src <> dst GROUP BY ALL) GROUP BY src")
+@query("sparse_product", f"SELECT src AS row, sum(n)::DOUBLE AS value FROM (SELECT src, dst, count(*) AS n FROM ({TRADE}) WHERE src <> dst GROUP BY ALL) GROUP BY src")
 def _(t):
     cells = trade(t).groupBy(F.col("src").alias("row"), F.col("dst").alias("col")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return gr.multiply(cells, t.nation.select(F.col("n_nationkey").alias("col"), F.lit(1.0).alias("x")))
@@ -272,7 +272,7 @@ def _(t):
     return ud.latest(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderkey").alias("k")), ["o_custkey"], "o_orderdate", "k").select("o_custkey", "o_orderkey")
 
 
-@query("visit_upsert", "SELECT user_id::VARCHAR AS username, event_type AS url, max(ts) AS visited_at, count(*) AS visit_count, max_by(props, ts) AS title, min_by(props, ts) AS host FROM events WHERE event_id % 10 <> 0 GROUP BY ALL")
+@query("visit_upsert", "SELECT user_id::VARCHAR AS username, event_type AS url, max(ts) AS visited_at, count(*) AS visit_count, max_by(props, ts) AS title, min_by(props, ts) AS host FROM events GROUP BY ALL")
 def _(t):
     visits = t.events.select(F.col("user_id").cast("string").alias("username"), F.col("event_type").alias("url"), F.col("props").alias("title"), F.col("props").alias("host"), F.col("ts").alias("visited_at"), F.lit(1).alias("visit_count"), F.lit(False).alias("incognito"))
     return ud.upsert_visits(visits)

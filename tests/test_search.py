@@ -39,6 +39,32 @@ def test_parse():
     assert query.parse("trump or iran").must == ["trump", "or", "iran"]
 
 
+def test_or_binds_to_wanted_words_only():
+    q = query.parse("x -a OR b")
+    assert (q.must, q.excluded, q.or_groups) == ([], ["a"], [["x", "b"]])
+    q = query.parse("site:b.vn OR y")
+    assert (q.must, q.site, q.or_groups) == (["or", "y"], "b.vn", [])
+    assert query.parse("a OR").must == ["a", "or"] and query.parse("OR a").must == ["or", "a"]
+    assert query.parse("a OR b OR").or_groups == [["a", "b"]]
+    assert query.parse("a OR !!").must == ["a"]
+
+
+def test_compounds_in_index_query_and_suggestions(spark, docs):
+    words = spark.createDataFrame([("máy tính", 1000), ("xách tay", 1000), ("giá rẻ", 1000)], "word string, frequency long")
+    cut = index.compounds(spark, segment.dictionary(words), ("tính", "rẻ"))
+    engine = SearchEngine(docs, tokenizer=cut)
+    terms = {r["term"] for r in engine.index.postings.collect()}
+    assert {"máy_tính", "may_tinh", "giá_rẻ", "tài", "laptop"} <= terms and not {"máy", "tính"} & terms
+    assert [r["doc_id"] for r in engine.search("máy tính")] == [0, 2] and engine.search("tính") == []
+    # a decomposed text has the same terms
+    import unicodedata
+
+    loose = docs.withColumn("body_text", F.lit(unicodedata.normalize("NFD", "máy tính giá")))
+    assert "máy_tính" in {r["term"] for r in index.build(loose, tokenizer=cut).postings.collect()}
+    rows = spark.createDataFrame([(["máy_tính", "mới"],)] * 3 + [(["một"],), ([],)], "w array<string>")
+    assert {tuple(r) for r in suggest.phrases(rows, "w").collect()} == {("máy tính", 3), ("máy tính mới", 3)}
+
+
 def test_trees(built):
     p = built.postings
     assert ids(query.evaluate(p, And((Term("máy"), Term("tính"))))) == [0, 2]
@@ -142,7 +168,10 @@ def test_engine(docs):
     assert engine.rank_pages() > 0
     assert engine.stats()["total_docs"] == 4 and engine.health()["code"] == 200
     assert engine.corpus_stats().first()["documents"] == 4
-    assert engine.suggest("giá").count() == 1
+    # both queries had results, and are found with and without accents
+    assert engine.suggest("giá").count() == engine.suggest("gia").count() == 2
+    engine.learn("giá rẻ", most=1)
+    assert not engine.learned and ("giá rẻ", 2) in {tuple(r) for r in engine.suggest("gia").collect()}
     assert engine.run({"base": "bm25", "pagerank": 0.0, "title": 0.0, "recency": 0.0}, ["giá", "máy"]).count() == 4
 
 

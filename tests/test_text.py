@@ -35,6 +35,14 @@ def test_language(spark):
     assert got == ["vi", "en", "ru", "vi", "und"]
 
 
+def test_languages_that_are_neither(spark):
+    french = "le chat est sur la table et il mange très bien à côté de la fenêtre où l'on voit les élèves " * 4
+    spanish = "el niño está en la casa y come muy bien con su mamá porque así lo quiere la señora de aquí " * 4
+    rows = [("fr", french), ("en", french), ("es", spanish), (None, "שלום עולם"), ("vi", "Καλημέρα κόσμε"), ("", "नमस्ते दुनिया"), ("", "გამარჯობა"), ("fr", "trop court"), ("en-US", "short"), ("fr", None), ("vi_VN", "123")]
+    got = values(spark, rows, "h string, t string", T.detect_language(F.col("h"), F.col("t")))
+    assert got == ["other", "other", "other", "he", "el", "hi", "georgian", "und", "en", "und", "vi"]
+
+
 def test_language_of_the_whole_text(spark):
     rows = [("en", "the cat of the house " * 1000 + "và của là có các được " * 200)]
     assert values(spark, rows, "h string, t string", T.detect_language(F.col("h"), F.col("t"))) == ["vi"]
@@ -63,3 +71,16 @@ def test_image_tiers(spark):
     rows = [("https://a.vn/p/640x480/x.jpg", None), ("https://a.vn/logo.png", "900"), ("https://a.vn/x.svg", "900"), ("https://a.vn/x.jpg?w=120", None), ("https://a.vn/x.jpg", "")]
     frame = spark.createDataFrame(rows, "u string, w string").withColumn("n", U.declared_width(F.col("u"), F.col("w")))
     assert [r[0] for r in frame.select(U.image_tier(F.col("u"), F.col("n"))).collect()] == [3, 0, 0, 1, 2]
+
+
+def test_image_sizes_and_words(spark):
+    rows = [("https://a.vn/x.jpg?rw=640", 640), ("https://a.vn/x.jpg?mw=120&h=2", 120), ("https://a.vn/a_640x480_b.jpg", 640), ("https://a.vn/a-1200x630.jpg", 1200), ("https://a.vn/a.jpg", -1)]
+    assert values(spark, rows, "u string, n int", U.declared_width(F.col("u"), F.lit(None).cast("string"))) == [n for _, n in rows]
+    bad = [(f"https://a.vn/{w}/x.jpg",) for w in "thumbs blank badges button favicon watermark 1x1".split()] + [("https://a.vn/x.GIF?a=1",)]
+    assert set(values(spark, bad, "u string", U.image_tier(F.col("u"), F.lit(900)))) == {0}
+
+
+def test_blocked_extensions_and_editions(spark):
+    rows = [(f"https://a.vn/x.{e}",) for e in "json xml rss woff2 exe 7z mkv csv apk webm".split()] + [(f"https://{p}a.vn/x",) for p in ("pt.", "ar.", "lo.", "km.", "en.")]
+    got = values(spark, rows, "u string", U.reject_reason(F.col("u"), F.lit(0), 2))
+    assert got == ["extension"] * 10 + ["language"] * 4 + [None]
