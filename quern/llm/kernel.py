@@ -83,6 +83,14 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def list_chunks(texts: list[str | None], rows: int = 256) -> Iterator[Chunk]:
+    """chunks() of a list, a part of it at a time: no second copy of all texts is made."""
+    for at in range(0, len(texts), rows):
+        for c in chunks(pa.array(texts[at : at + rows], pa.string())):
+            c.first += at
+            yield c
+
+
 def word_spans(chunk: Chunk, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each text's first word as an offset into them (one more than texts)."""
     inner = np.zeros(len(chunk.buf) + 1, bool)

@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from quern.llm import kernel
 
 
+WEIGHTS = 4096  # small weights of long texts so stay within half precision
+
+
 @dataclass(frozen=True)
 class Settings:
     bits: int = 15
@@ -90,15 +93,15 @@ class Model:
 
 
 def histograms(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text, its buckets and their weights in the mean."""
+    """Of each text, its buckets and their weights in the mean, times WEIGHTS: four bytes a feature, as thousands of texts are held."""
     rows = []
-    for c in kernel.chunks(pa.array(texts, pa.string())):
+    for c in kernel.list_chunks(texts):
         families = [*features(c, s)]
         for i in range(len(c)):
             own = [b[f[i] : f[i + 1]] for b, f in families]
             weights = np.concatenate([np.full(len(b), 1 / (len(b) or 1) / len(own)) for b in own])
             buckets, place = np.unique(np.concatenate(own), return_inverse=True)
-            rows.append((buckets.astype(np.uint16 if s.bits <= 16 else np.uint32), np.bincount(place, weights, len(buckets)).astype(np.float32)))
+            rows.append((buckets.astype(np.uint16 if s.bits <= 16 else np.uint32), (np.bincount(place, weights, len(buckets)) * WEIGHTS).astype(np.float16)))
     return rows
 
 
@@ -121,7 +124,7 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), sh
         for at in range(0, len(order), s.batch):
             own = order[at : at + s.batch]
             for k, i in enumerate(own):
-                x[k, rows[i][0]] = rows[i][1]
+                x[k, rows[i][0]] = rows[i][1].astype(np.float32) / WEIGHTS
             mean = x[: len(own)] @ table
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
