@@ -236,8 +236,9 @@ def first_rows(rows: DataFrame, chars: int) -> tuple[list, list]:
     return sorted((r for r in held.collect() if r["_id"] in taken), key=lambda r: r["_id"]), sizes
 
 
-def release() -> None:
-    """Gives back the memory of the driver's Python that a fit has left unused."""
+def release(spark: SparkSession) -> None:
+    """Gives back what the driver holds unused, before and after a fit: its JVM's heap shrinks by a full collection, its Python's by a trim."""
+    spark.sparkContext._jvm.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

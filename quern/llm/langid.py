@@ -191,9 +191,10 @@ def train(docs: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="
     held = kernel.written(held.select("_id", "_rank", "_r.*", F.length("_r._text").alias("_n")), "sample")
     found, _ = kernel.first_rows(held, s.sample_chars)
     kernel.discard(counts, held)
+    kernel.release(docs.sparkSession)
     model = fit([r["_text"] for r in found], [r["_lang"] for r in found], s)
     del found
-    kernel.release()
+    kernel.release(docs.sparkSession)
     return model
 
 

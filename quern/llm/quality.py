@@ -171,6 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s, id_col=
     found, _ = kernel.first_rows(rows, s.sample_chars)
     met = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     kernel.discard(known, rows)
+    kernel.release(docs.sparkSession)
     # shares: all labels of a class for each one that was looked for, those found for each one that fits
     shift = 0.0
     for y, sign in ((1, 1), (0, -1)):
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_co
     sample = training_rows(docs, labels, label_col, s, id_col, text_col)
     model = fit(sample.texts, sample.labels, s, sample.shift)
     del sample
-    kernel.release()
+    kernel.release(docs.sparkSession)
     return model
 
 
