@@ -16,8 +16,12 @@ the unit that moves.
    of each level there is, equal windows are marked on both sides, and levels of
    about one size merge into the next, so that a window is merged a
    logarithmic number of times.
-3. Keys with more than `hot` runs would fill one task. Their windows are counted
-   one by one by a 64-bit hash, an aggregate that no key can unbalance.
+3. Keys with more than `hot` runs would fill one task. Their runs are split: windows
+   that hold their key at about one place (places are dealt by `widths`) have the
+   bytes around it in common, and these name a new key. The parts are treated
+   like runs, by 1 and 2, and keys that are still hot are split by the next width.
+   At a width of 1 a part is one window and its key names all its bytes, so that a
+   key's parts are alike however many there are: 1 settles them.
 
 A text's result depends on nothing but the text and the set of all windows, so
 texts are known by a 128-bit hash, and equal texts of `length` bytes or more are
@@ -47,6 +51,7 @@ class Settings:
     length: int = 200
     gram: int = 24
     hot: int = 4000  # runs of a key that one task may hold
+    widths: tuple[int, ...] = (32, 1)  # windows in a part of a run, where a key is split; the last is 1
     task_bytes: int = 12 << 20  # of runs in a task of the index
     batch_bytes: int = 3 << 19
     bitmap_bits: int = 24
@@ -63,15 +68,20 @@ def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(right[:n], left[w - 1 : w - 1 + n])
 
 
+def gram_keys(c: kernel.Chunk, k: int) -> np.ndarray:
+    """A hash of every k consecutive bytes; none is 0."""
+    prefix = np.zeros(len(c.buf) + 1, np.uint64)
+    np.cumsum((c.buf.astype(np.uint64) + np.uint64(1)) * kernel.powers(kernel.MULTIPLIER, len(c.buf)), out=prefix[1:])
+    return kernel.mix((prefix[k:] - prefix[:-k]) * kernel.powers(kernel.INVERSE, len(c.buf) + 1)[: len(prefix) - k]) | np.uint64(1)
+
+
 def runs(c: kernel.Chunk, s: Settings) -> tuple[np.ndarray, ...]:
     """Of all runs: text, first window (in the buffer), number of windows, key, and whether the run holds its key twice."""
-    width, k = s.length - s.gram + 1, s.gram
+    width = s.length - s.gram + 1
     none = np.zeros(0, np.int64)
     if len(c.buf) <= s.length:
         return none, none, none, none.view(np.uint64), none.astype(bool)
-    prefix = np.zeros(len(c.buf) + 1, np.uint64)
-    np.cumsum((c.buf.astype(np.uint64) + np.uint64(1)) * kernel.powers(kernel.MULTIPLIER, len(c.buf)), out=prefix[1:])
-    grams = kernel.mix((prefix[k:] - prefix[:-k]) * kernel.powers(kernel.INVERSE, len(c.buf) + 1)[: len(prefix) - k]) | np.uint64(1)
+    grams = gram_keys(c, s.gram)
     keys = sliding(grams, width, np.minimum)
     count = np.maximum(c.ends - c.starts - s.length + 1, 0)
     edge = np.zeros(len(c.buf) + 1, np.int32)
@@ -97,24 +107,65 @@ def runs(c: kernel.Chunk, s: Settings) -> tuple[np.ndarray, ...]:
     return text, first, sizes, kernel.mix(key), twice
 
 
+def units(c: kernel.Chunk, s: Settings, levels: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """runs(); or, where levels has bitmaps of keys to split, the parts of those keys' runs after as many splits.
+
+    Windows of a part hold their key first at one place, at distances that one number of width steps covers, so they
+    all hold the bytes from the last one's start to the first one's end. A part's key names these bytes, the number of
+    steps and the key before: equal windows, wherever they stand, are in parts of one key. No two windows of a part
+    are equal, as their distances differ. A bitmap may let other keys' runs through; it does so for all runs of a key.
+    """
+    found = runs(c, s)
+    if not levels:
+        return found
+    none = tuple(x[:0] for x in found)
+    keep = kernel.in_bitmap(levels[0], signed(found[3]), s.bitmap_bits)
+    if not keep.any():
+        return none
+    text, first, sizes, key = (x[keep] for x in found[:4])
+    run = np.repeat(np.arange(len(text)), sizes)
+    at = np.arange(len(run)) - (np.cumsum(sizes) - sizes)[run] + first[run]
+    # the place where each window's key stands first
+    spread, names = kernel.mix(gram_keys(c, s.gram)), np.unique(key)
+    code = np.minimum(np.searchsorted(names, spread), len(names) - 1)
+    stands = np.flatnonzero(names[code] == spread)
+    places = np.sort(code[stands].astype(np.int64) << 32 | stands)
+    stand = places[np.searchsorted(places, np.searchsorted(names, key).astype(np.int64)[run] << 32 | at)] & 0xFFFFFFFF
+    text, base = text[run], key[run]
+    for k, width in enumerate(s.widths[: len(levels)]):
+        if k:
+            keep = np.repeat(kernel.in_bitmap(levels[k], signed(key), s.bitmap_bits), sizes)
+            if not keep.any():
+                return none
+            text, at, stand, base = text[keep], at[keep], stand[keep], base[keep]
+        steps = (stand - at) // width
+        turn = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (stand[1:] != stand[:-1]) | (steps[1:] != steps[:-1])))
+        sizes = np.diff(np.append(turn, len(at)))
+        shared = stand[turn] - width * steps[turn]
+        key = kernel.mix(base[turn] ^ kernel.mix(kernel.span_hashes(c.buf, shared, shared + s.length - width + 1) + steps[turn].astype(np.uint64)))
+    return text[turn], at[turn], sizes, key, np.zeros(len(turn), bool)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def list_runs(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """(t, at, n, m, d, twice) of every text that a task sees for the first time."""
+def list_units(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> DataFrame:
+    """(t, at, n, m, d, twice) of units() of every text that a task sees for the first time."""
 
     def work(batches):
         seen: set[bytes] = set()
         for batch in batches:
             for c in kernel.chunks(batch.column(0)):
-                text, first, sizes, key, twice = runs(c, s)
+                text, first, sizes, key, twice = units(c, s, levels)
+                if not len(text):
+                    continue
                 names = [xxhash.xxh3_128_digest(c.buf[a:b].tobytes()) for a, b in zip(c.starts, c.ends)]
                 fresh = np.zeros(len(c), bool)
                 for k, name in enumerate(names):
                     fresh[k] = name not in seen
                     seen.add(name)
-                keep = fresh[text] if len(text) else np.zeros(0, bool)
+                keep = fresh[text]
                 text, first, sizes, key, twice = text[keep], first[keep], sizes[keep], key[keep], twice[keep]
                 raw = c.buf.tobytes()
                 digest = [xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(first.tolist(), (first + sizes + s.length - 1).tolist())]
@@ -290,10 +341,27 @@ def index(frames, s: Settings):
 
 def repeated(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
     """(t, a, b): byte ranges of texts that windows cover which also start elsewhere; ranges may overlap."""
-    all_runs = kernel.written(list_runs(docs, s, text_col), "runs")
-    keys = all_runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("twice").alias("twice"))
+    levels, parts = [], []
+    while True:
+        found, hot = settled(docs, s, text_col, levels)
+        parts += found
+        if hot is None:
+            break
+        levels = [*levels, hot]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def settled(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> tuple[list[DataFrame], np.ndarray | None]:
+    """Frames of (t, a, b) from all units but those of hot keys, and a bitmap of these, if there are any."""
+    split = len(levels) < len(s.widths)
+    listed = kernel.written(list_units(docs, s, text_col, levels), "runs")
+    keys = listed.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("twice").alias("twice"))
     keys = keys.where("c > 1 OR twice")
-    kind = F.expr(f"CASE WHEN lo = hi AND NOT twice THEN 'all' WHEN c > {s.hot} THEN 'hot' ELSE 'index' END")
+    hot = f"WHEN c > {s.hot} THEN 'hot'" if split else ""
+    kind = F.expr(f"CASE WHEN lo = hi AND NOT twice THEN 'all' {hot} ELSE 'index' END")
     keys = kernel.written(keys.select("m", kind.alias("kind"), "c"), "keys")
     flags, bits = kernel.bitmap(keys, "m", s.bitmap_bits), s.bitmap_bits
 
@@ -301,14 +369,15 @@ def repeated(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(kernel.in_bitmap(flags, batch.column(3).to_numpy(), bits)))
 
-    some = all_runs.drop("twice").mapInArrow(known, "t binary, at long, n long, m long, d long")
-    some = kernel.written(some.join(keys.select("m", "kind"), "m"), "some-runs")
+    some = listed.drop("twice").mapInArrow(known, "t binary, at long, n long, m long, d long")
+    some = kernel.written(some.join(keys.where("kind <> 'hot'").select("m", "kind"), "m"), "some-runs")
+    kernel.discard(listed)
     sizes = {r["kind"]: r["c"] for r in keys.groupBy("kind").agg(F.sum("c").alias("c")).collect()}
     whole = some.where("kind = 'all'").select("t", F.col("at").alias("a"), (F.col("at") + F.col("n") + s.length - 1).alias("b"))
     parts = [whole]
     if sizes.get("index"):
         chosen = keys.where("kind = 'index'")
-        raw = pieces(docs, chosen, s, text_col).join(chosen.select("m"), "m", "left_semi")
+        raw = pieces(docs, chosen, s, text_col, levels).join(chosen.select("m"), "m", "left_semi")
         tasks = int(max(2, -(-sizes["index"] * 2 * s.length // s.task_bytes)))
         dealt = raw.repartition(tasks, "m").sortWithinPartitions("m", "d")
         found = kernel.written(dealt.mapInArrow(lambda frames: index(frames, s), "m long, d long, ranges array<struct<a:long,b:long>>"), "indexed")
@@ -318,28 +387,22 @@ def repeated(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
         parts.append(twins.select("t", F.col("at").alias("a"), (F.col("at") + F.col("n") + s.length - 1).alias("b")))
         met = some.where("kind = 'index'").join(found, ["m", "d"]).select("t", "at", F.explode("ranges").alias("r"))
         parts.append(met.select("t", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + s.length - 1).alias("b")))
-    if sizes.get("hot"):
-        single = windows(docs, keys.where("kind = 'hot'"), s, text_col)
-        single = kernel.written(single, "hot-windows")
-        often = single.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
-        parts.append(single.join(often, "w").select("t", F.col("at").alias("a"), (F.col("at") + s.length).alias("b")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return parts, kernel.bitmap(keys.where("kind = 'hot'"), "m", bits) if sizes.get("hot") else None
 
 
-def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """(m, d, raw): the bytes of runs of keys (and of a few others: a bitmap decides)."""
+def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> DataFrame:
+    """(m, d, raw): the bytes of units of keys (and of a few others: a bitmap decides)."""
     flags, bits = kernel.bitmap(keys, "m", s.bitmap_bits), s.bitmap_bits
 
     def work(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for c in kernel.chunks(batch.column(0)):
-                _, first, sizes, key, _ = runs(c, s)
+                _, first, sizes, key, _ = units(c, s, levels)
                 key = signed(key)
                 keep = kernel.in_bitmap(flags, key, bits)
+                if not keep.any():
+                    continue
                 out, raw = [], c.buf.tobytes()
                 for m, a, b in zip(key[keep].tolist(), first[keep].tolist(), (first + sizes + s.length - 1)[keep].tolist()):
                     d = xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63)
@@ -352,34 +415,6 @@ def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str) -> Data
     return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(work, "m long, d long, raw binary")
 
 
-def windows(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """(t, at, w): every window of keys' runs, with a hash of its bytes; texts that a task has seen are skipped.
-
-    The few keys are sent to all tasks: each has more than s.hot runs, so there are at most runs / s.hot of them.
-    """
-    hot = np.sort(np.array([r["m"] for r in keys.select("m").collect()], np.int64))
-
-    def work(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            for c in kernel.chunks(batch.column(0)):
-                text, first, sizes, key, _ = runs(c, s)
-                key = signed(key)
-                keep = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-                if not keep.any():
-                    continue
-                names = {int(k): xxhash.xxh3_128_digest(c.buf[c.starts[k] : c.ends[k]].tobytes()) for k in np.unique(text[keep])}
-                fresh = {k for k, name in names.items() if name not in seen}
-                seen.update(names.values())
-                keep &= np.isin(text, list(fresh))
-                owner = np.repeat(text[keep], sizes[keep])
-                at = np.repeat(first[keep], sizes[keep]) + np.concatenate([np.arange(n) for n in sizes[keep]] or [np.zeros(0, np.int64)])
-                w = kernel.span_hashes(c.buf, at, at + s.length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in owner.tolist()], pa.binary()), pa.array(at - c.starts[owner]), pa.array(w)], names=["t", "at", "w"])
-
-    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(work, "t binary, at long, w long")
-
-
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of raw, bytes removed and maximal removed runs."""
     flags = np.zeros(len(raw) + 1, np.int32)

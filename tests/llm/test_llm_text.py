@@ -135,7 +135,7 @@ def cut(rows, size=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("s", [repeats.Settings(), repeats.Settings(hot=2), repeats.Settings(batch_bytes=1 << 10, task_bytes=1 << 13)])
+@pytest.mark.parametrize("s", [repeats.Settings(), repeats.Settings(hot=2), repeats.Settings(hot=1, widths=(64, 8, 1)), repeats.Settings(batch_bytes=1 << 10, task_bytes=1 << 13)])
 def test_repeats(docs, s):
     got = repeats.removed(docs, s)
     assert sorted((tuple(r) for r in got.collect()), key=str) == cut(held(docs))
@@ -143,6 +143,17 @@ def test_repeats(docs, s):
         assert repeats.removed(docs.limit(0), s).count() == 0
 
 
+def test_repeats_of_hot_keys(spark):
+    """A passage that many texts share, whole or in part, amid other words, and strings that repeat themselves."""
+    rng = random.Random(5)
+    passage = words(rng, 90)
+    rows = [(k, words(rng, rng.randrange(30)) + passage[rng.randrange(60) : len(passage) - rng.randrange(60)] + words(rng, rng.randrange(30))) for k in range(40)]
+    rows += [(50 + k, "ab" * (90 + 7 * k) + "é" + passage[: 40 * k]) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for s in (repeats.Settings(hot=3), repeats.Settings(hot=3, widths=(16,)), repeats.Settings(hot=1, widths=(177, 20, 1))):
+        assert sorted((tuple(r) for r in repeats.removed(frame, s).collect()), key=str) == cut(rows)
+
+
 def test_family_marks_windows_of_all_batches():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab") for _ in range(60)).encode() for _ in range(40)]
