@@ -56,6 +56,12 @@ def normal_query(text: Column, limit: int = 120) -> Column:
     return F.substring(F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), 1, limit)
 
 
+def cache_key(*parts: Column) -> Column:
+    """v1 and the parts, trimmed and in lower case, a dash for an empty one."""
+    clean = [F.lower(F.trim(F.coalesce(p, F.lit("")))) for p in parts]
+    return F.concat_ws(":", F.lit("v1"), *(F.when(p == "", F.lit("-")).otherwise(p) for p in clean))
+
+
 def shortened(text: Column, limit: int, mark: str) -> Column:
     """Collapsed white space, cut to limit characters with a mark if it was longer."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -65,6 +65,23 @@ def reject_reason(url: Column, depth: Column, max_depth: int, domains: tuple[str
     return out.when(foreign, "language").when(extension(url).isin(*BLOCKED), "extension")
 
 
+# Names of hosts that are never fetched.
+INNER = ("localhost", "metadata", "metadata.google.internal", "instance-data", "169.254.169.254")
+
+
+def blocked_host(host: Column) -> Column:
+    """No host, a name of the inner network, or an address literal of a loopback, local, shared, any or multicast range."""
+    h = F.lower(F.trim(F.coalesce(host, F.lit(""))))
+    bare = F.regexp_replace(F.regexp_replace(h, r"^\[|\]$", ""), r"^::ffff:(?=[0-9]+\.)", "")
+    octets = [F.regexp_extract(bare, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", k).try_cast("int") for k in range(1, 5)]
+    a, b = octets[:2]
+    is_v4 = F.coalesce(F.greatest(*octets) <= 255, F.lit(False)) & octets[0].isNotNull()
+    anywhere = (a == 0) & (b == 0) & (octets[2] == 0) & (octets[3] == 0)
+    v4 = a.isin(10, 127) | anywhere | a.between(224, 239) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    v6 = bare.contains(":") & (bare.isin("::", "::1", "0:0:0:0:0:0:0:0", "0:0:0:0:0:0:0:1") | bare.rlike("^(fe[89a-f]|f[cdf])[0-9a-f]{0,2}:"))
+    return (h == "") | h.isin(*INNER) | h.endswith(".localhost") | F.coalesce(is_v4 & v4, F.lit(False)) | v6
+
+
 def on_site(url: Column, wanted: str) -> Column:
     """The host is the wanted one or under it."""
     return (site(url) == wanted) | site(url).endswith("." + wanted)

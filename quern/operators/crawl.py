@@ -205,6 +205,38 @@ def level(depth: Column, url: Column, backlinks: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(4), depth - U.host(url).endswith(".vn").cast("int") - (backlinks >= 5).cast("int")))
 
 
+def queue_weights(tasks: DataFrame, levels: int = 5) -> DataFrame:
+    """(level, n, weight, share) of the levels that hold tasks: each weighs twice the next, and share is its chance to be served next."""
+    sizes = tasks.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    weighed = sizes.withColumn("weight", F.pow(F.lit(2.0), F.lit(levels - 1) - F.col("level")).cast("long"))
+    whole = weighed.agg(F.sum("weight").alias("_whole"))
+    return weighed.crossJoin(F.broadcast(whole)).withColumn("share", F.col("weight") / F.col("_whole")).drop("_whole")  # one row
+
+
+def served_first(tasks: DataFrame, n: int) -> DataFrame:
+    """The n tasks that a strict selector takes first: lowest level, then in order."""
+    return tasks.orderBy("level", "seq").limit(n)
+
+
+def progress(pages: Column, most: Column, elapsed_ms: Column) -> tuple[Column, Column]:
+    """Pages a second, and the milliseconds left at that rate; null while there is no rate."""
+    rate = F.when(elapsed_ms > 0, pages * 1000.0 / elapsed_ms).otherwise(0.0)
+    return rate, F.when(rate > 0, (F.greatest(F.lit(0), most - pages) / rate * 1000).cast("long"))
+
+
+def run_counters(events: DataFrame) -> DataFrame:
+    """One row of what a crawl's events (kind, ok, tries, duplicate, reason) add up to; rates are 0 without events."""
+    lookup, load = F.col("kind") == "dns", F.col("kind") == "download"
+    return events.agg(
+        F.coalesce(F.count_if(lookup & F.col("ok")) / F.nullif(F.count_if(lookup), F.lit(0)), F.lit(0.0)).alias("dns_hit_rate"),
+        F.count_if(load & F.col("ok")).alias("downloads"),
+        F.count_if(load & ~F.col("ok")).alias("failures"),
+        F.coalesce(F.sum(F.when(load, F.greatest(F.col("tries") - 1, F.lit(0)))), F.lit(0)).cast("long").alias("retries"),
+        F.count_if(F.col("duplicate")).alias("duplicates"),
+        F.count_if(F.col("reason").isNotNull()).alias("rejected"),
+    )
+
+
 def schedule(tasks: DataFrame, gap_ms: int = 1000) -> DataFrame:
     """tasks (host, level, seq) with start_ms: at least gap_ms between two fetches of a host, best level first, then in order."""
     place = F.row_number().over(Window.partitionBy("host").orderBy("level", "seq")) - 1

@@ -141,6 +141,19 @@ def check(node, under_and: bool = False) -> None:
             check(c)
 
 
+def estimated(node, df: dict[str, int], n_docs: int) -> int:
+    """At most how many documents a tree matches, from its terms' document frequencies."""
+    if isinstance(node, Term):
+        return df.get(node.term, 0)
+    if isinstance(node, Phrase):
+        return min((df.get(t, 0) for t in node.terms), default=0)
+    if isinstance(node, Not):
+        return n_docs
+    if isinstance(node, Or):
+        return min(sum(estimated(c, df, n_docs) for c in node.children), 2**31 - 1)
+    return min((estimated(c, df, n_docs) for c in node.children if not isinstance(c, Not)), default=0)
+
+
 def phrase_match(positions: list[Column]) -> Column:
     """Some place of the first word is followed by the others in order."""
     first, *others = positions

@@ -190,6 +190,16 @@ def effective_ttl(kickoff: Column, now: Column, short_s: int, long_s: int) -> Co
     return F.when(kickoff < now, F.lit(long_s)).otherwise(F.lit(short_s))
 
 
+# States in which a job is over.
+OVER = ("COMPLETED", "FAILED", "CANCELLED")
+
+
+def retained(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """jobs (status, finished_at) less those that were over more than `minutes` ago."""
+    gone = F.col("status").isin(*OVER) & (F.col("finished_at") < now - F.make_dt_interval(mins=F.lit(minutes)))
+    return jobs.where(~F.coalesce(gone, F.lit(False)))
+
+
 def accounts(users: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
     one = users.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "ADMIN").alias("admins"), F.count_if(~F.col("enabled")).alias("disabled"))
     return one.crossJoin(F.broadcast(sessions.where(F.col("expires_at") > now).agg(F.count(F.lit(1)).alias("active_sessions"))))

@@ -23,6 +23,7 @@ from quern.operators import userdata as ud
 from quern.plans.base import Tables, query
 from quern.plans.search_queries import BM25, LANGUAGE_SQL, WITH, best, has, known, lens, posts, top10
 from quern.plans.table_queries import SITE, USAGE, usage_events
+from quern.streaming import jobs
 
 DOWNLOADS = """d AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS username, CASE o_orderstatus WHEN 'P' THEN 'IN_PROGRESS' WHEN 'O' THEN 'PAUSED' ELSE 'COMPLETED' END AS state,
   floor(o_totalprice)::BIGINT AS received_bytes, CASE WHEN o_orderpriority < '3' THEN floor(o_totalprice * 1.5)::BIGINT END AS total_bytes, o_orderdate AS started_at FROM orders)"""
@@ -378,3 +379,64 @@ def _(t):
 def _(t):
     rows = t.pages.groupBy(U.site(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
     return an.entropy(rows, "n").select(F.round("entropy", 6).alias("entropy"), F.round("normalised", 6).alias("normalised"))
+
+
+@query("hosts_blocked", "SELECT event_id, a IN (10, 127) OR a BETWEEN 224 AND 239 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) AS blocked FROM (SELECT event_id, [10, 127, 230, 169, 172, 192, 100, 8][event_id % 8 + 1] AS a, CASE WHEN event_id % 16 < 8 THEN [0, 0, 0, 254, 20, 168, 99, 8][event_id % 8 + 1] ELSE user_id % 256 END AS b FROM events)")
+def _(t):
+    a = F.element_at(F.array(*map(F.lit, (10, 127, 230, 169, 172, 192, 100, 8))), (F.col("event_id") % 8 + 1).cast("int"))
+    b = F.element_at(F.array(*map(F.lit, (0, 0, 0, 254, 20, 168, 99, 8))), (F.col("event_id") % 8 + 1).cast("int"))
+    b = F.when(F.col("event_id") % 16 < 8, b.cast("long")).otherwise(F.col("user_id") % 256)
+    return t.events.select("event_id", U.blocked_host(F.concat_ws(".", a.cast("string"), b.cast("string"), F.lit("3"), F.lit("4"))).alias("blocked"))
+
+
+@query("cache_keys", "SELECT c_custkey, 'v1:' || lower(trim(c_name)) || ':' || CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE c_nationkey::VARCHAR END AS key FROM customer")
+def _(t):
+    second = F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(F.col("c_nationkey").cast("string"))
+    return t.customer.select("c_custkey", T.cache_key(F.concat(F.lit(" "), F.upper("c_name")), second).alias("key"))
+
+
+@query("estimated_sizes", WITH + "SELECT least(d.the, d.that + d.que) AS nested, least(d.of, d.the) AS phrase, (SELECT count(*) FROM documents) AS negated FROM (SELECT count(DISTINCT doc_id) FILTER (WHERE term = 'the') AS the, count(DISTINCT doc_id) FILTER (WHERE term = 'that') AS that, count(DISTINCT doc_id) FILTER (WHERE term = 'que') AS que, count(DISTINCT doc_id) FILTER (WHERE term = 'of') AS of FROM t) d")
+def _(t):
+    words = ("the", "that", "que", "of")
+    df = {r["term"]: r["n"] for r in posts(t, *words).groupBy("term").agg(F.count_distinct("doc_id").alias("n")).collect()}  # four rows
+    n = t.documents.count()
+    nested = qy.And((qy.Term("the"), qy.Or((qy.Term("that"), qy.Term("que"))), qy.Not(qy.Term("of"))))
+    found = [qy.estimated(node, df, n) for node in (nested, qy.Phrase(("of", "the")), qy.Not(qy.Term("of")))]
+    return t.spark.createDataFrame([tuple(found)], "nested long, phrase long, negated long")
+
+
+@query("queue_weights", "WITH s AS (SELECT page_id % 4 AS level, count(*) AS n, (2 ** (4 - page_id % 4))::BIGINT AS weight FROM pages GROUP BY ALL) SELECT *, weight / (SELECT sum(weight) FROM s) AS share FROM s")
+def _(t):
+    return cr.queue_weights(t.pages.select((F.col("page_id") % 4).alias("level")))
+
+
+@query("served_first", "SELECT page_id FROM pages ORDER BY page_id % 5, page_id LIMIT 20")
+def _(t):
+    return cr.served_first(t.pages.select("page_id", (F.col("page_id") % 5).alias("level"), F.col("page_id").alias("seq")), 20).select("page_id")
+
+
+@query("crawl_progress", "SELECT page_id, page_id * 1000.0::DOUBLE / (page_id * 40 + 7) AS rate, CASE WHEN page_id > 0 THEN trunc(greatest(0, 200 - page_id) / (page_id * 1000.0::DOUBLE / (page_id * 40 + 7)) * 1000)::BIGINT ELSE -1 END AS eta_ms FROM pages")
+def _(t):
+    rate, eta = cr.progress(F.col("page_id"), F.lit(200), F.col("page_id") * 40 + 7)
+    return t.pages.select("page_id", rate.alias("rate"), F.coalesce(eta, F.lit(-1)).alias("eta_ms"))
+
+
+@query("crawl_counters", "SELECT count(*) FILTER (WHERE event_type = 'view' AND user_id % 3 > 0) / count(*) FILTER (WHERE event_type = 'view') AS dns_hit_rate, count(*) FILTER (WHERE event_type = 'click' AND user_id % 3 > 0) AS downloads, count(*) FILTER (WHERE event_type = 'click' AND user_id % 3 = 0) AS failures, sum(CASE WHEN event_type = 'click' THEN event_id % 4 ELSE 0 END)::BIGINT AS retries, count(*) FILTER (WHERE event_id % 7 = 0) AS duplicates, count(*) FILTER (WHERE event_id % 11 = 0) AS rejected FROM events")
+def _(t):
+    kind = F.when(F.col("event_type") == "view", "dns").when(F.col("event_type") == "click", "download").otherwise("other")
+    rows = t.events.select(kind.alias("kind"), (F.col("user_id") % 3 > 0).alias("ok"), (F.col("event_id") % 4 + 1).alias("tries"), (F.col("event_id") % 7 == 0).alias("duplicate"), F.when(F.col("event_id") % 11 == 0, "depth").alias("reason"))
+    return cr.run_counters(rows)
+
+
+@query("jobs_retained", "WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, m WHERE NOT (event_type = 'click' AND ts < now - INTERVAL 30 MINUTE)")
+def _(t):
+    rows = t.events.select("event_id", F.when(F.col("event_type") == "click", "COMPLETED").otherwise("RUNNING").alias("status"), F.col("ts").alias("finished_at"))
+    now = F.lit(t.events.agg(F.max("ts")).first()[0])
+    return ud.retained(rows, now).select("event_id")
+
+
+@query("alerts_held", "WITH v AS (SELECT event_type AS series, epoch(ts)::BIGINT // 3600 AS minute, max(user_id) AS most FROM events GROUP BY ALL), o AS (SELECT *, minute - row_number() OVER (PARTITION BY series ORDER BY minute) AS run FROM v WHERE most > 60), l AS (SELECT *, row_number() OVER (PARTITION BY series, run ORDER BY minute) AS length FROM o) SELECT 'busy' AS rule, series, minute FROM l WHERE length >= 3")
+def _(t):
+    # an hour of events stands for a minute of samples
+    rows = t.events.select(F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 60).alias("ts"), F.lit("users").alias("metric"), F.col("event_type").alias("series"), F.col("user_id").cast("double").alias("value"))
+    return jobs.held(rows, (("busy", "users", "most", 60.0, "above", 3),))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import schemas
@@ -86,6 +86,37 @@ def alerts(samples: DataFrame, name: str, limit: float, hold: str = "5 minutes",
     return wide.groupBy("window").agg(F.every("over").alias("firing")).where("firing").select("window")
 
 
+# Rule, metric, how its samples of a step become one number, limit, whether it fires below or above, minutes to hold.
+RULES = (
+    ("down", "up", "least", 1.0, "below", 2),
+    ("empty_index", "index_documents", "least", 1.0, "below", 10),
+    ("slow_search", "search_p99_seconds", "most", 0.5, "above", 5),
+    ("errors", "error_ratio", "most", 0.05, "above", 5),
+    ("bus_failures", "bus_failures_in_5m", "most", 0.0, "above", 5),
+    ("consumer_lag", "consumer_lag", "most", 10_000.0, "above", 10),
+    ("dead_letters", "dead_letters_in_15m", "most", 10.0, "above", 15),
+)
+
+
+def held(samples: DataFrame, rules=RULES) -> DataFrame:
+    """(rule, series, minute) of every minute that ends as many minutes as the rule asks for, each with a sample beyond its limit.
+
+    samples: (ts, metric, series, value). A minute without samples breaks the row of minutes.
+    """
+    table = ", ".join(f"('{n}', '{m}', '{how}', {limit}D, '{side}', {hold})" for n, m, how, limit, side, hold in rules)
+    known = samples.sparkSession.sql(f"SELECT * FROM VALUES {table} AS r(rule, metric, how, edge, side, hold)")
+    minute = F.floor(F.unix_seconds("ts") / 60)
+    steps = samples.groupBy("metric", "series", minute.alias("minute")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = steps.join(F.broadcast(known), "metric")  # seven rows
+    value = F.when(F.col("how") == "least", F.col("least")).otherwise(F.col("most"))
+    over = rows.where(F.when(F.col("side") == "below", value < F.col("edge")).otherwise(value > F.col("edge"))).select("rule", "series", "minute", "hold")
+    # minutes in a row have one difference to their place
+    place = F.row_number().over(Window.partitionBy("rule", "series").orderBy("minute"))
+    runs = over.withColumn("_run", F.col("minute") - place)
+    length = F.row_number().over(Window.partitionBy("rule", "series", "_run").orderBy("minute"))
+    return runs.withColumn("_length", length).where("_length >= hold").select("rule", "series", "minute")
+
+
 def increase(samples: DataFrame, name: str, every: str = "1 minute") -> DataFrame:
     """Growth of a counter by window; a counter that starts anew counts from 0."""
     return samples.where(F.col("metric") == name).groupBy(F.window("ts", every)).agg((F.max_by("value", "ts") - F.min_by("value", "ts")).alias("d")).select("window", F.greatest("d", F.lit(0.0)).alias("increase"))

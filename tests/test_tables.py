@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import schemas
+from quern.functions import urls
 from quern.operators import analytics, crawl, evaluation, graph, userdata
 from quern.plans.catalog import QUERIES
 from quern.sources import readers, sinks
@@ -230,3 +231,24 @@ def test_trade_and_visits_of_whole_tables(spark):
     ranks = {r["node"]: r["rank"] for r in QUERIES["pagerank_fixed"](spark, SF).collect()}
     assert ranks == pytest.approx(ranks_of(nation["n_nationkey"].tolist(), edges, 5), abs=1e-8)
     assert QUERIES["visit_upsert"](spark, SF).agg(F.sum("visit_count")).first()[0] == len(seen)
+
+
+def test_alert_rules(spark):
+    """down needs two minutes in a row, and a gap breaks them; a lag at its limit is none."""
+    at = lambda m: NOW + timedelta(minutes=m)
+    rows = [(at(m), "up", "a", 0.0) for m in (0, 1, 2, 4)] + [(at(m), "consumer_lag", "g", 10_000.0) for m in range(12)] + [(at(m), "search_p99_seconds", "s", 0.6) for m in range(5)]
+    found = jobs.held(spark.createDataFrame(rows, "ts timestamp, metric string, series string, value double"))
+    first = found.agg(F.min("minute")).first()[0]
+    assert sorted((r["rule"], r["minute"] - first) for r in found.collect()) == [("down", 0), ("down", 1), ("slow_search", 3)]
+
+
+def test_blocked_hosts(spark):
+    blocked = ["", " LOCALHOST", "x.localhost", "metadata", "127.0.0.1", "0.0.0.0", "[::1]", "::", "fe80::1", "fd00::1", "ff02::1", "::ffff:10.0.0.1", "100.64.0.1", "172.31.0.1"]
+    free = ["example.org", "8.8.8.8", "100.128.0.1", "172.32.0.1", "256.0.0.1", "127.0.0.1.example.org", "2001:db8::1", "fd.example.org", "0.1.2.3"]
+    rows = spark.createDataFrame([(h,) for h in [*blocked, *free]], "host string")
+    assert [r[0] for r in rows.where(urls.blocked_host(F.col("host"))).collect()] == blocked
+
+
+def test_jobs_are_kept_while_they_run(spark):
+    rows = spark.createDataFrame([(1, "RUNNING", NOW - timedelta(days=1)), (2, "FAILED", NOW - timedelta(minutes=31)), (3, "COMPLETED", NOW - timedelta(minutes=30)), (4, "COMPLETED", None)], "id int, status string, finished_at timestamp")
+    assert sorted(r["id"] for r in userdata.retained(rows, F.lit(NOW)).collect()) == [1, 3, 4]
