@@ -113,7 +113,8 @@ def units(c: kernel.Chunk, s: Settings, levels: list[np.ndarray]) -> tuple[np.nd
     Windows of a part hold their key first at one place, at distances that one number of width steps covers, so they
     all hold the bytes from the last one's start to the first one's end. A part's key names these bytes, the number of
     steps and the key before: equal windows, wherever they stand, are in parts of one key. No two windows of a part
-    are equal, as their distances differ. A bitmap may let other keys' runs through; it does so for all runs of a key.
+    are equal, as their distances differ. A bitmap may let other keys' runs through; these are settled already, and what
+    is found among them again is no more than was found.
     """
     found = runs(c, s)
     if not levels:
@@ -150,13 +151,26 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def list_units(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> DataFrame:
-    """(t, at, n, m, d, twice) of units() of every text that a task sees for the first time."""
+def of_texts(column: pa.Array, flags: np.ndarray | None, bits: int) -> pa.Array:
+    """The texts that a bitmap of their hashes knows; all without one."""
+    if flags is None:
+        return column
+    names = [xxhash.xxh3_128_digest(x or b"") for x in column.cast(pa.binary()).to_pylist()]
+    return column.filter(pa.array(kernel.in_bitmap(flags, np.array([int.from_bytes(x[:8], "big") for x in names], np.uint64).view(np.int64), bits)))
+
+
+def lead(t: str):
+    """The first eight bytes of a hash, as of_texts() reads them."""
+    return F.conv(F.hex(F.substring(t, 1, 8)), 16, -10).cast("long")
+
+
+def list_units(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray], texts: np.ndarray | None) -> DataFrame:
+    """(t, at, n, m, d, twice) of units() of every text (that a bitmap knows) that a task sees for the first time."""
 
     def work(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            for c in kernel.chunks(batch.column(0)):
+            for c in kernel.chunks(of_texts(batch.column(0), texts, s.bitmap_bits)):
                 text, first, sizes, key, twice = units(c, s, levels)
                 if not len(text):
                     continue
@@ -341,9 +355,9 @@ def index(frames, s: Settings):
 
 def repeated(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
     """(t, a, b): byte ranges of texts that windows cover which also start elsewhere; ranges may overlap."""
-    levels, parts = [], []
+    levels, texts, parts = [], None, []
     while True:
-        found, hot = settled(docs, s, text_col, levels)
+        found, hot, texts = settled(docs, s, text_col, levels, texts)
         parts += found
         if hot is None:
             break
@@ -354,10 +368,10 @@ def repeated(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
     return out
 
 
-def settled(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> tuple[list[DataFrame], np.ndarray | None]:
-    """Frames of (t, a, b) from all units but those of hot keys, and a bitmap of these, if there are any."""
+def settled(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray], texts: np.ndarray | None) -> tuple[list[DataFrame], np.ndarray | None, np.ndarray | None]:
+    """Frames of (t, a, b) from all units but those of hot keys, and bitmaps of these keys and of the texts that hold them, if there are any."""
     split = len(levels) < len(s.widths)
-    listed = kernel.written(list_units(docs, s, text_col, levels), "runs")
+    listed = kernel.written(list_units(docs, s, text_col, levels, texts), "runs")
     keys = listed.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("twice").alias("twice"))
     keys = keys.where("c > 1 OR twice")
     hot = f"WHEN c > {s.hot} THEN 'hot'" if split else ""
@@ -370,14 +384,14 @@ def settled(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray
             yield batch.filter(pa.array(kernel.in_bitmap(flags, batch.column(3).to_numpy(), bits)))
 
     some = listed.drop("twice").mapInArrow(known, "t binary, at long, n long, m long, d long")
-    some = kernel.written(some.join(keys.where("kind <> 'hot'").select("m", "kind"), "m"), "some-runs")
+    some = kernel.written(some.join(keys.select("m", "kind"), "m"), "some-runs")
     kernel.discard(listed)
     sizes = {r["kind"]: r["c"] for r in keys.groupBy("kind").agg(F.sum("c").alias("c")).collect()}
     whole = some.where("kind = 'all'").select("t", F.col("at").alias("a"), (F.col("at") + F.col("n") + s.length - 1).alias("b"))
     parts = [whole]
     if sizes.get("index"):
         chosen = keys.where("kind = 'index'")
-        raw = pieces(docs, chosen, s, text_col, levels).join(chosen.select("m"), "m", "left_semi")
+        raw = pieces(docs, chosen, s, text_col, levels, texts).join(chosen.select("m"), "m", "left_semi")
         tasks = int(max(2, -(-sizes["index"] * 2 * s.length // s.task_bytes)))
         dealt = raw.repartition(tasks, "m").sortWithinPartitions("m", "d")
         found = kernel.written(dealt.mapInArrow(lambda frames: index(frames, s), "m long, d long, ranges array<struct<a:long,b:long>>"), "indexed")
@@ -387,17 +401,19 @@ def settled(docs: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray
         parts.append(twins.select("t", F.col("at").alias("a"), (F.col("at") + F.col("n") + s.length - 1).alias("b")))
         met = some.where("kind = 'index'").join(found, ["m", "d"]).select("t", "at", F.explode("ranges").alias("r"))
         parts.append(met.select("t", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + s.length - 1).alias("b")))
-    return parts, kernel.bitmap(keys.where("kind = 'hot'"), "m", bits) if sizes.get("hot") else None
+    if not sizes.get("hot"):
+        return parts, None, None
+    return parts, kernel.bitmap(keys.where("kind = 'hot'"), "m", bits), kernel.bitmap(some.where("kind = 'hot'").select(lead("t").alias("m")), "m", bits)
 
 
-def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray]) -> DataFrame:
-    """(m, d, raw): the bytes of units of keys (and of a few others: a bitmap decides)."""
+def pieces(docs: DataFrame, keys: DataFrame, s: Settings, text_col: str, levels: list[np.ndarray], texts: np.ndarray | None) -> DataFrame:
+    """(m, d, raw): the bytes of units of keys (and of a few others: a bitmap decides), in texts that a bitmap knows."""
     flags, bits = kernel.bitmap(keys, "m", s.bitmap_bits), s.bitmap_bits
 
     def work(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for c in kernel.chunks(batch.column(0)):
+            for c in kernel.chunks(of_texts(batch.column(0), texts, s.bitmap_bits)):
                 _, first, sizes, key, _ = units(c, s, levels)
                 key = signed(key)
                 keep = kernel.in_bitmap(flags, key, bits)
@@ -439,8 +455,7 @@ def removed(docs: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col
     found = repeated(docs, s, text_col).join(gone.select("t"), "t", "left_anti")
     # overlapping ranges of one text are joined before they meet its bytes
     spans = kernel.written(found.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    lead = F.conv(F.hex(F.substring("t", 1, 8)), 16, -10).cast("long")
-    flags, bits = kernel.bitmap(spans.select(lead.alias("m")), "m", s.bitmap_bits), s.bitmap_bits
+    flags, bits = kernel.bitmap(spans.select(lead("t").alias("m")), "m", s.bitmap_bits), s.bitmap_bits
 
     def wanted(batches):
         seen: set[bytes] = set()
