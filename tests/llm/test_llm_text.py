@@ -328,3 +328,18 @@ def test_scores_keep_the_true_shares_when_classes_are_sampled(spark, operator, c
     # both classes exceed the bound; the words tell nothing, so the score is the share
     model = operator.train(docs, labels, operator.Settings(sample=60))
     assert operator.score(docs, model).agg(F.max("score")).first()[0] == pytest.approx(0.1, abs=0.05)
+
+
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    """Every candidate of every text counts, equal texts once, however few documents they weigh as; rounding leaves none out."""
+    rows = [(k, f"api_key = {'aB3' * (4 + k % 9)}{k:04d} and token: {'x9Q' * 4}{k % 7}") for k in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (99, None), (100, "nothing")], "doc_id long, text string")
+    seen = []
+    real = pii.boost
+    monkeypatch.setattr(pii, "boost", lambda *args: seen.append(args) or real(*args))
+    pii.train(spark, docs, pii.Settings(documents=10))
+    pii.train(spark, docs, pii.Settings(documents=10, vectors=8))
+    every = pii.candidates(docs.where("text IS NOT NULL").distinct().select(F.col("text").alias("_text")).distinct(), "_text").agg(F.sum(F.size("_candidates"))).first()[0]
+    found = [(a[0][a[4] != 1], a[4][a[4] != 1]) for a in seen]  # made spans weigh 1, the others 10 / 61 each
+    assert every > 120 and all(w.sum() * 61 / 10 == pytest.approx(every) for _, w in found)
+    assert len(found[1][0]) < len(found[0][0]) and (found[1][0].max(0) >= found[0][0].max(0)).all()
