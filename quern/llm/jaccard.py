@@ -276,6 +276,7 @@ def class_links(pre: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     star = star.select(F.col("ch").alias("a"), F.col("h").alias("b")).distinct()
     found = verify(kernel.written(enough(star, entries, s), "stars"), pre, docs, s, id_col, text_col)
     label = components(found, "a", "b")
+    kernel.release(docs.sparkSession)  # plans of many rounds
     rest = entries.select("token", "h", "n", "l", "rank").join(label.withColumnRenamed("node", "h"), "h", "left")
     rest = kernel.written(rest.withColumn("label", F.coalesce("label", "h")), "labelled")
     open_ = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")

@@ -343,3 +343,8 @@ def test_pii_learns_from_all_documents(spark, monkeypatch):
     found = [(a[0][a[4] != 1], a[4][a[4] != 1]) for a in seen]  # made spans weigh 1, the others 10 / 61 each
     assert every > 120 and all(w.sum() * 61 / 10 == pytest.approx(every) for _, w in found)
     assert len(found[1][0]) < len(found[0][0]) and (found[1][0].max(0) >= found[0][0].max(0)).all()
+
+
+def test_release_trims_the_driver(spark):
+    """What the JVM's threads freed outside its heap goes back as well (JDK 17.0.9 and later on glibc)."""
+    assert "Trim native heap" in kernel.trim_jvm(spark)
