@@ -21,7 +21,7 @@ hands on all columns, whatever their names; score() ignores all but two.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +149,7 @@ class Sample:
     labels: list[int]
     langs: list[str | None]
     shift: float = 0.0
+    ids: list = field(default_factory=list)
 
 
 def usable(labels: DataFrame, label_col: str, id_col="doc_id") -> DataFrame:
@@ -178,7 +179,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, s, id_col=
         kept = sum(r["_y"] == y for r in found)
         if kept:
             shift += sign * float(np.log(total[y] / min(total[y], s.sample)) + np.log(met[y] / kept))
-    return Sample([r["_text"] for r in found], [r["_y"] for r in found], [r["_lang"] for r in found], shift)
+    return Sample([r["_text"] for r in found], [r["_y"] for r in found], [r["_lang"] for r in found], shift, [r["_id"] for r in found])
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col="quality", id_col="doc_id", text_col="text") -> Model:

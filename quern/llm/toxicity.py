@@ -13,8 +13,10 @@ zero vector: they can't be learned by heart, and words never seen add no noise.
 In each pass a share of the words is left out at random for the same reason, and of all
 passes the one that does best on rows kept back counts.
 
-Thresholds are calibrated by language on fitted rows that were kept back: the
-lowest score at which clean rows are flagged at no more than `Settings.clean`.
+Thresholds are calibrated by language on all usable labelled rows but those that
+were fitted on: the lowest score, in steps of 1 / `STEPS`, at which clean rows are
+flagged at no more than `Settings.clean`. (fit() alone, which only knows its own
+rows, takes those that were kept back.) Of rows that repeat an id the highest score counts.
 They only decide `flagged`; the score never sees the language. A language with
 too few clean rows, and a null one, take the threshold of all rows.
 
@@ -36,7 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernel
-from quern.llm.quality import training_rows
+from quern.llm.quality import training_rows, usable
+
+
+STEPS = 10_000  # of the scores that thresholds are looked for among: what is counted stays small
 
 
 @dataclass(frozen=True)
@@ -82,6 +87,7 @@ class Model:
     out: np.ndarray | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
+    fitted: list[int] = field(default_factory=list)  # places of the rows that were fitted on
 
     def maxima(self, rows: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text and filter, the largest response and the word where it starts (-1: none above 0)."""
@@ -208,6 +214,7 @@ def fit(texts: list[str | None], labels: list[int], s: Settings = Settings(), la
     whole = np.zeros((3 << s.bits, s.dim), np.float32)
     whole[alive] = m.table[1:]
     m.table = whole
+    m.fitted = [int(i) for i in used]
     if langs is not None:
         kept = [i for i in np.flatnonzero(back)] or [*used]
         calibrate(m, m.score(pa.array([texts[i] for i in kept], pa.string())), y[kept], [langs[i] for i in kept])
@@ -227,10 +234,34 @@ def calibrate(m: Model, scores: np.ndarray, y: np.ndarray, langs: list[str | Non
             m.thresholds[lang] = lowest(own)
 
 
+def calibrate_all(m: Model, docs: DataFrame, labels: DataFrame, fitted: list, id_col: str, text_col: str, lang_col: str) -> None:
+    """Sets the thresholds by all clean rows that may be learned from and weren't fitted on; without such rows they stay."""
+    spark = docs.sparkSession
+    clean = usable(labels, "toxic", id_col).where("_y = 0").select("_id")
+    used = spark.createDataFrame([(i,) for i in fitted], clean.schema)  # 2 * Settings.sample ids at most
+    clean = clean.join(F.broadcast(used), "_id", "left_anti")
+    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    scored = score(keyed, m, "key", "text").select(F.col("key.id").alias("_id"), F.col("key.lang").alias("lang"), "score")
+    rows = scored.join(clean, "_id").groupBy("_id").agg(F.min("lang").alias("lang"), F.max("score").alias("score"))
+    # beyond the bounds of a threshold only the number of rows matters
+    step = F.ceil(F.greatest(F.lit(0.2), F.least(F.lit(0.8), F.col("score"))) * STEPS)
+    rows = kernel.written(rows.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")), "scores")
+    lowest = (F.expr(f"percentile(step, {1 - m.settings.clean}D, n)") / STEPS + 1e-6).alias("lowest")
+    of_all = rows.agg(lowest).first()[0]
+    if of_all is not None:
+        m.threshold = float(np.clip(of_all, 0.2, 0.8))
+        found = rows.where("lang IS NOT NULL").groupBy("lang").agg(lowest, F.sum("n").alias("n")).where(F.col("n") >= m.settings.least)
+        m.thresholds = {r["lang"]: float(np.clip(r["lowest"], 0.2, 0.8)) for r in found.orderBy("lang").collect()}
+    kernel.discard(rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="text", lang_col: str | None = "lang") -> Model:
     sample = training_rows(docs, labels, "toxic", s, id_col, text_col, lang_col)
     model = fit(sample.texts, sample.labels, s, sample.langs if lang_col is not None else None, sample.shift)
+    fitted, model.fitted = [sample.ids[i] for i in model.fitted], []
     del sample
+    if lang_col is not None and model.table is not None:
+        calibrate_all(model, docs, labels, fitted, id_col, text_col, lang_col)
     kernel.release(docs.sparkSession)
     return model
 

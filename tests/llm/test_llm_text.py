@@ -1,6 +1,7 @@
 """The text operators against brute force, with the edge cases that their docstrings define."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -348,3 +349,33 @@ def test_pii_learns_from_all_documents(spark, monkeypatch):
 def test_release_trims_the_driver(spark):
     """What the JVM's threads freed outside its heap goes back as well (JDK 17.0.9 and later on glibc)."""
     assert "Trim native heap" in kernel.trim_jvm(spark)
+
+
+def test_toxicity_thresholds_come_from_all_clean_rows(spark, monkeypatch):
+    """Rows beyond the sample that is fitted on count as well: thresholds as by brute force over all that weren't fitted."""
+    rng = random.Random(5)
+    text = lambda bad: words(rng, 12) + (f" bad{rng.randrange(3)}" if bad else "")
+    rows = [(k, text(k % 4 == 0 or k % 9 == 1), ("aa", "bb", None)[k % 3]) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(900)], "doc_id long, toxic int")
+    seen, real = [], toxicity.calibrate_all
+    monkeypatch.setattr(toxicity, "calibrate_all", lambda *args: seen.append(args[3]) or real(*args))
+    s = toxicity.Settings(sample=40, steps=200, clean=0.1)
+    model = toxicity.train(docs, labels, s)
+    (fitted,) = seen
+    kept = {r[0] for r in docs.where(~kernel.held_out("doc_id", 5, 0)).collect()}
+    assert 40 < len(fitted) < 80 and set(fitted) <= kept
+    clean = [r for r in rows if r[0] % 4 and r[0] in kept and r[0] not in fitted]
+    scores = model.score(pa.array([r[1] for r in clean]))
+
+    def lowest(lang=None):
+        own = [math.ceil(min(max(x, 0.2), 0.8) * 10_000) for x, r in zip(scores, clean, strict=True) if lang in (None, r[2])]
+        return min(max(sorted_place(own, 1 - s.clean) / 10_000 + 1e-6, 0.2), 0.8)
+
+    def sorted_place(own, share):
+        own, at = sorted(own), share * (len(own) - 1)
+        low = own[int(at)]
+        return low + (own[min(int(at) + 1, len(own) - 1)] - low) * (at - int(at))
+
+    assert len(clean) > 400 and model.threshold == pytest.approx(lowest())
+    assert model.thresholds == {lang: pytest.approx(lowest(lang)) for lang in ("aa", "bb")}
